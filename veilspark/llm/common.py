@@ -21,7 +21,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.made = spark, {}, 0
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
             root = spark.sparkContext.getCheckpointDir()
@@ -32,7 +32,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back: the lineage ends here."""
-        self.paths[name] = path = f"{self.root}/{name}-{len(self.paths)}"
+        self.made += 1
+        self.paths[name] = path = f"{self.root}/{name}-{self.made}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -31,6 +31,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256")
+    return found.select(F.col("doc.doc_id").alias("doc_id"), *[count(k) for k in pii.KINDS], base, pii.listed(F.col("spans")).alias("spans"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -39,6 +48,15 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc.doc_id").alias("doc_id"), held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    found = packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import topk
 
@@ -46,5 +64,12 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_language, op6_topk)}
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    found = neardup.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("group").alias("component_id"), F.col("key").eqNullSafe(F.col("group")).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_pii, op4_language, op5_pack, op6_topk, op9_neardup)}
 ORACLES: dict[str, str] = {}
