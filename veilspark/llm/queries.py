@@ -22,6 +22,14 @@ def language_model(docs: DataFrame):
     return langid.train(docs.where(~held_out()))
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    found = repeats.strip(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -71,5 +79,5 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("group").alias("component_id"), F.col("key").eqNullSafe(F.col("group")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_pii, op4_language, op5_pack, op6_topk, op9_neardup)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_decontaminate, op3_pii, op4_language, op5_pack, op6_topk, op9_neardup)}
 ORACLES: dict[str, str] = {}
