@@ -9,6 +9,8 @@ from .common import held_out
 
 #: Rows are their own queries if their id is divisible by this.
 EVERY = 50
+#: The score from which a text is predicted to be of quality.
+PASS_MARK = 0.7
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,22 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = read(spark, sf_dir, "documents")
+    network = quality.train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels").where(~held_out()))
+    found = quality.score(docs.select("doc_id", "text"), network).select(F.col("doc.doc_id").alias("doc_id"), "score")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PASS_MARK).cast("int").alias("predicted"))
+
+
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "license", F.col("lines").alias("n_lines"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
@@ -79,5 +97,12 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("group").alias("component_id"), F.col("key").eqNullSafe(F.col("group")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_decontaminate, op3_pii, op4_language, op5_pack, op6_topk, op9_neardup)}
+def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import extract
+
+    found = extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select(F.col("doc.page_id").alias("page_id"), F.col("doc.url").alias("url"), "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_decontaminate, op3_pii, op4_language, op5_pack, op6_topk, op7_quality, op8_license, op9_neardup, op10_extract)}
 ORACLES: dict[str, str] = {}
