@@ -1 +1 @@
-
+"""Column expressions: digests, checksums, normal forms, layouts. No Python runs per row."""
