@@ -76,7 +76,8 @@ def dictionary(df: DataFrame, columns: list[str], order: str, fold: bool = True)
     cells = df.select(F.col(order).alias("o"), F.explode(names).alias("x")).select("o", "x.column", "x.raw", normalize(F.col("x.raw"), fold).alias("norm"))
     first = cells.where("norm <> ''").groupBy("column", "norm").agg(F.min(F.struct("o", "raw")).alias("f"))
     first = first.select("column", "norm", F.col("f.o").alias("o"), F.col("f.raw").alias("original"))
-    parts = first.repartitionByRange("column", "o").sortWithinPartitions("column", "o").withColumn("p", F.spark_partition_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that adaptive execution leaves partition ids alone
+    parts = first.repartitionByRange(n, "column", "o").sortWithinPartitions("column", "o").withColumn("p", F.spark_partition_id())
     within = parts.withColumn("r", F.row_number().over(Window.partitionBy("column", "p").orderBy("o")))
     before = parts.groupBy("column", "p").count().withColumn("base", F.sum("count").over(Window.partitionBy("column").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)))
     prefix = F.create_map(*[F.lit(x) for pair in zip(columns, slugs(columns)) for x in pair])
