@@ -31,7 +31,8 @@ def sniff_delimiter(text: Column) -> Column:
     lines = F.filter(F.slice(F.split(F.substring(text, 1, 20_000), "\r?\n", -1), 1, 10), lambda x: F.length(x) > 0)
     best, top = F.lit(","), F.lit(-1)
     for d in DELIMITERS:
-        counts = F.transform(lines, lambda x, d=d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))))
+        sign = F.lit(d)
+        counts = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, sign, F.lit(""))))  # noqa: B023
         low = F.array_min(counts)
         score = F.when(F.size(lines) == 0, -1).when((low > 0) & (low == F.array_max(counts)), low * 10).otherwise(low)
         best, top = F.when(score > top, d).otherwise(best), F.greatest(score, top)

@@ -1 +1 @@
-
+"""Named queries over the standard tables, each with the SQL that gives the same rows where SQL can express it."""
