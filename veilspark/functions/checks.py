@@ -11,7 +11,7 @@ SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\
 
 def luhn(digits: Column) -> Column:
     """True if a string of digits passes the Luhn check; the empty string does."""
-    spread = F.transform(F.split(F.reverse(digits), ""), lambda c, i: c.cast("int") * F.when(i % 2 == 1, 2).otherwise(1))
+    spread = F.transform(F.split(F.reverse(digits), ""), lambda c, i: c.try_cast("int") * F.when(i % 2 == 1, 2).otherwise(1))
     total = F.aggregate(F.filter(spread, lambda x: x.isNotNull()), F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x))
     return total % 10 == 0
 
@@ -20,15 +20,15 @@ def iban(text: Column) -> Column:
     """True for 15 to 34 characters with two letters, two digits and remainder 1 modulo 97, spaces and case apart."""
     s = F.upper(F.regexp_replace(text, SPACE, ""))
     turned = F.split(F.concat(F.substring(s, 5, 40), F.substring(s, 1, 4)), "")
-    step = lambda a, c: F.when(c.between("0", "9"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    step = lambda a, c: F.when(c.between("0", "9"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
     return F.when(s.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), F.aggregate(turned, F.lit(0), step) == 1).otherwise(False)
 
 
 def aba(text: Column) -> Column:
     """True for nine digits with a weighted sum (3, 7, 1) that 10 divides and a prefix that is in use."""
     weight = F.array(*[F.lit(x) for x in (3, 7, 1) * 3])
-    total = F.aggregate(F.zip_with(F.split(text, ""), weight, lambda c, w: c.cast("int") * w), F.lit(0), lambda a, x: a + x)
-    prefix = F.substring(text, 1, 2).cast("int")
+    total = F.aggregate(F.zip_with(F.split(text, ""), weight, lambda c, w: c.try_cast("int") * w), F.lit(0), lambda a, x: a + x)
+    prefix = F.substring(text, 1, 2).try_cast("int")
     used = (prefix <= 12) | prefix.between(21, 32) | prefix.between(61, 72) | (prefix == 80)
     return F.when(text.rlike("^[0-9]{9}$"), (total % 10 == 0) & used).otherwise(False)
 

@@ -68,7 +68,8 @@ def dictionary(df: DataFrame, columns: list[str], order: str, fold: bool = True)
     """(column, norm, token, original): tokens numbered by first appearance in the order column.
 
     Values are made distinct with partial aggregation before anything is ranked, so only the dictionary is sorted, and it is
-    numbered in two steps: ranges of the order column by their counts, then rows within a range. No task sees a whole column.
+    numbered in two steps: ranges of the order column (a number or a time) by their counts, then rows within a range. No task
+    sees a whole column.
     """
     if not columns:
         raise ValueError("no column to replace")
@@ -76,8 +77,10 @@ def dictionary(df: DataFrame, columns: list[str], order: str, fold: bool = True)
     cells = df.select(F.col(order).alias("o"), F.explode(names).alias("x")).select("o", "x.column", "x.raw", normalize(F.col("x.raw"), fold).alias("norm"))
     first = cells.where("norm <> ''").groupBy("column", "norm").agg(F.min(F.struct("o", "raw")).alias("f"))
     first = first.select("column", "norm", F.col("f.o").alias("o"), F.col("f.raw").alias("original"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that adaptive execution leaves partition ids alone
-    parts = first.repartitionByRange(n, "column", "o").sortWithinPartitions("column", "o").withColumn("p", F.spark_partition_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = first.agg(F.percentile_approx("o", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    part = sum((F.col("o") > F.lit(b)).cast("int") for b in sorted(set(bounds))) if bounds else F.lit(0)
+    parts = first.withColumn("p", part)
     within = parts.withColumn("r", F.row_number().over(Window.partitionBy("column", "p").orderBy("o")))
     before = parts.groupBy("column", "p").count().withColumn("base", F.sum("count").over(Window.partitionBy("column").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)))
     prefix = F.create_map(*[F.lit(x) for pair in zip(columns, slugs(columns)) for x in pair])

@@ -16,7 +16,7 @@ CROSS_CHECK_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
-    """path, modificationTime, length, content of every file."""
+    """path, modificationTime, length, content of every file; Spark's reader skips empty files (hash_mounted doesn't)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
