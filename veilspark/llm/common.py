@@ -50,6 +50,13 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def thinned(df: DataFrame, mark: Column, most: int, total: int | Column) -> DataFrame:
+    """About ``most`` of ``total`` rows (all, if there are fewer), chosen by the hash of a column expression: no row is ranked or moved."""
+    steps = 1 << 30
+    share = F.lit(most).cast("double") / (F.lit(total) if isinstance(total, int) else total)
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), mark), F.lit(steps)) < share * steps)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets, from 0; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

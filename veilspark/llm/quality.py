@@ -5,8 +5,8 @@ over a chunk; each filter's greatest response in the chunk is kept (max-pooling,
 mean and their maximum over the document, and a linear layer with a logistic function gives one probability.
 
 A filter's response is a sum of one weight for each of its bytes, so scoring reads tables of byte pairs. The network is
-trained on the driver with Adam on a bounded sample: the SAMPLE labelled texts of at most SAMPLE_CHARS characters with the
-smallest hash of their id; all texts are scored whole.
+trained on the driver with Adam on a bounded sample: SAMPLE labelled texts of at most SAMPLE_CHARS characters, chosen by the
+hash of their id; all texts are scored whole.
 
 Defined results: null and empty texts are one chunk of padding and get that chunk's score; without usable labels the score
 is 0.5; labels other than 0 and 1 are left out; a key that is labelled more than once takes its greatest label.
@@ -14,13 +14,15 @@ is 0.5; labels other than 0 and 1 are left out; a key that is labelled more than
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, utf8
+from .common import slices, thinned, utf8
 from .decontaminate import _arrow
 
 FILTERS, KERNEL, CHUNK, OVERLAP = 16, 6, 1024, 128
@@ -127,10 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """The network for P(label = 1), from the bounded sample of labelled docs."""
     usable = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1))
     usable = usable.groupBy("k").agg(F.max("y").alias("y"))
-    # Ids are chosen before any text is touched: twice the sample, as some are unlabelled, long or null.
-    chosen = usable.orderBy(F.xxhash64("k"), "k").limit(4 * SAMPLE)
+    # Ids are chosen by hash before any text is touched; twice the sample, as some texts are long or null.
+    chosen = thinned(usable, F.col("k"), 2 * SAMPLE, usable.count())
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where(F.length("t") <= SAMPLE_CHARS)
-    rows = rows.join(F.broadcast(chosen), "k").orderBy(F.xxhash64("k"), "k", "t").limit(SAMPLE).collect()
+    rows = rows.join(F.broadcast(chosen), "k").groupBy("k").agg(F.first("y").alias("y"), F.min("t").alias("t")).collect()
+    rows = sorted(rows, key=lambda r: zlib.crc32(str(r["k"]).encode()))[:SAMPLE]
     return fit([r["t"].encode() for r in rows], np.array([r["y"] for r in rows], np.float32))
 
 
