@@ -53,7 +53,7 @@ def held_out(key: str = "doc_id") -> Column:
 def thinned(df: DataFrame, mark: Column, most: int, total: int | Column) -> DataFrame:
     """About ``most`` of ``total`` rows (all, if there are fewer), chosen by the hash of a column expression: no row is ranked or moved."""
     steps = 1 << 30
-    share = F.lit(most).cast("double") / (F.lit(total) if isinstance(total, int) else total)
+    share = F.lit(most).cast("double") / (F.lit(max(1, total)) if isinstance(total, int) else total)
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), mark), F.lit(steps)) < share * steps)
 
 

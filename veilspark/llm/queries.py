@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out
+from .oracles import ORACLES  # noqa: F401
 
 #: Rows are their own queries if their id is divisible by this.
 EVERY = 50
@@ -105,4 +106,3 @@ def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_repeats, op2_decontaminate, op3_pii, op4_language, op5_pack, op6_topk, op7_quality, op8_license, op9_neardup, op10_extract)}
-ORACLES: dict[str, str] = {}
