@@ -9,7 +9,7 @@ in the cover). So two equal strings hold equal sample strings of WIDTH - PERIOD
 2. Long ties: a ranked sample is compared with its whole reach (PERIOD - 1 bytes to the left, WIDTH to the right). Equal
    reaches settle all strings through those samples at once, however long the common passage and however many its copies.
 3. What is left are suffixes near places where passages begin to differ, one for each distinct reach. They are sorted by
-   their WIDTH bytes (as 128-bit fingerprints) in buckets, one bucket at a time.
+   their WIDTH bytes (as fingerprints of 80 bits beside the bucket's) in buckets, one bucket at a time.
 
 Texts travel as compressed chunks, once into the shared scratch folder and once through a shuffle; what a bucket finds
 goes back to a chunk as bitmaps. A task holds one chunk or one bucket. Copies within a chunk are merged before they are
@@ -54,6 +54,11 @@ def flags(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
+def high(keys: np.ndarray, width: int = 5) -> bytes:
+    """The upper bytes of each key."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
+
+
 class Chunk:
     """A chunk of texts with its sample positions; every stage derives the same arrays from it."""
 
@@ -80,7 +85,7 @@ class Chunk:
         return [(b, a, z) for b, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if z > a]
 
     def rank_rows(self):
-        low = self.distinct.view(np.uint8).reshape(-1, 8)[:, :5]
+        low = self.distinct.view(np.uint8).reshape(-1, 8)[:, 1:5]  # a few false partners cost less than the fifth byte
         for b, a, z in self.parts(self.distinct):
             yield RANK, b, bits(self.count[a:z] > 1) + low[a:z].tobytes()
 
@@ -104,7 +109,7 @@ class Chunk:
     def reach_rows(self):
         low = np.ascontiguousarray(self.r_key).view(np.uint8).reshape(-1, 8)[:, :5]
         for b, a, z in self.parts(self.r_key):
-            yield REACH, b, bits(self.r_count[a:z] > 1) + low[a:z].tobytes() + self.r_reach[a:z].tobytes()
+            yield REACH, b, bits(self.r_count[a:z] > 1) + low[a:z].tobytes() + high(self.r_reach[a:z], 6)
 
     def starts(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """True for the starts of all strings through these samples."""
@@ -131,7 +136,7 @@ class Chunk:
 
     def suffix_rows(self):
         for b, a, z in self.parts(self.s_bucket << np.uint64(40)):
-            yield SUFFIX, b, bits(self.s_count[a:z] > 1) + self.f0[a:z].tobytes() + self.f1[a:z].tobytes()
+            yield SUFFIX, b, bits(self.s_count[a:z] > 1) + high(self.f0[a:z]) + high(self.f1[a:z])
 
 
 def _split(raw: bytes, width: int) -> tuple[np.ndarray, bytes, int]:
@@ -143,26 +148,24 @@ def _split(raw: bytes, width: int) -> tuple[np.ndarray, bytes, int]:
     return flags(raw[:head], n), raw[head:], n
 
 
-def _low(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    """Records of so many bytes as integers."""
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.view("<u8")[:, 0]
 
 
 def _sort_bucket(kind: int, payloads: list[bytes]) -> list[bytes]:
     """For each payload of one bucket, the bitmap(s) that answer it."""
-    width = {RANK: 5, REACH: 13, SUFFIX: 16}[kind]
+    first, second = {RANK: (4, 0), REACH: (5, 6), SUFFIX: (5, 5)}[kind]
     many, ones, twos, sizes = [], [], [], []
     for raw in payloads:
-        flag, rest, n = _split(raw, width)
+        flag, rest, n = _split(raw, first + second)
         many.append(flag)
         sizes.append(n)
-        if kind == RANK:
-            ones.append(_low(rest))
-        else:
-            cut = 5 * n if kind == REACH else 8 * n
-            ones.append(_low(rest[:cut]) if kind == REACH else np.frombuffer(rest[:cut], "<u8"))
-            twos.append(np.frombuffer(rest[cut:], "<u8"))
+        ones.append(_wide(rest[: first * n], first))
+        if second:
+            twos.append(_wide(rest[first * n :], second))
     many, one = np.concatenate(many), np.concatenate(ones)
     two = np.concatenate(twos) if twos else np.zeros(len(one), np.uint64)
     by = np.lexsort((two, one)) if twos else np.argsort(one, kind="stable")
@@ -214,7 +217,7 @@ def strip(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -
 
     def cut(batches):
         number = TaskContext.get().partitionId() << 32
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=9).compress
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for lo, hi in slices(offsets, CHUNK_BYTES):
