@@ -10,8 +10,8 @@ equal priors.
 As the statistics are frozen, the code length of each (context, byte) is a table entry, and a text is scored by table
 lookups: contexts of all languages share one tree, and its table has a column for each language.
 
-The model learns from a bounded sample: of each language the PER_LANGUAGE texts of at most SAMPLE_CHARS characters whose
-hash is smallest; all texts are scored whole.
+The model learns from a bounded sample: of each language PER_LANGUAGE texts of at most SAMPLE_CHARS characters, chosen by
+their hash; all texts are scored whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the language first in
 order; without any labelled text every row is ``und``; rows keep their multiplicity.
@@ -19,15 +19,16 @@ order; without any labelled text every row is ``und``; rows keep their multiplic
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import slices, utf8
+from .common import slices, thinned, utf8
 
 ORDER = 3
 PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
@@ -50,7 +51,8 @@ class Model:
         self.unseen = 256 - n_seen
         self.symbols = np.full(256, n_seen, np.int64)
         self.symbols[seen] = np.arange(n_seen)
-        self._contexts(joined)
+        if self.languages:
+            self._contexts(joined)
 
     def _contexts(self, joined: dict[str, list[np.ndarray]]) -> None:
         s = self.size
@@ -144,21 +146,17 @@ class Model:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts the context trees on the bounded sample."""
     rows = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("t is not null and l is not null")
-    rows = rows.where(F.length("t").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("t"))
-    # A limit before the join keeps texts out of the shuffle: first the hash that bounds each language's sample.
-    first = Window.partitionBy("l").orderBy("h")
-    bound = rows.select("l", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= PER_LANGUAGE)
-    bounds = {r["l"]: r["h"] for r in bound.groupBy("l").agg(F.max("h").alias("h")).collect()}
-    if not bounds:
+    rows = rows.where(F.length("t").between(1, SAMPLE_CHARS))
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    if not counts:
         return Model({})
-    keep = None
-    for name, most in bounds.items():
-        one = (F.col("l") == name) & (F.col("h") <= most)
-        keep = one if keep is None else keep | one
-    samples: dict[str, dict[int, bytes]] = {name: {} for name in bounds}
-    for r in rows.where(keep).dropDuplicates(["l", "h"]).collect():
-        samples[r["l"]][r["h"]] = r["t"].encode()
-    return Model({name: [texts[h] for h in sorted(texts)] for name, texts in samples.items()})
+    # Chosen by hash, so that no task ranks a language's texts; some more than asked for, then exactly that many.
+    some = thinned(rows, F.col("t"), PER_LANGUAGE + PER_LANGUAGE // 2, F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("l")))
+    found: dict[str, list[bytes]] = {}
+    for r in some.select("l", "t").distinct().collect():
+        found.setdefault(r["l"], []).append(r["t"].encode())
+    samples = {name: sorted(texts, key=lambda t: (zlib.crc32(t), t))[:PER_LANGUAGE] for name, texts in found.items()}
+    return Model(samples)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
