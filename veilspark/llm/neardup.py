@@ -1,18 +1,21 @@
 """Near-duplicate groups by MinHash bands, odd sketches and exact verification.
 
 1. Each text becomes its set of distinct SHINGLE-word shingles (64-bit hashes). Texts with equal sets are one node: copies
-   are pre-aggregated before anything else is shuffled, and need no pairs.
-2. PERMUTATIONS MinHash samples of a set make BANDS bands of ROWS samples; nodes that share a band are candidates. At the
-   threshold a pair shares none with probability (1 - 0.75**ROWS)**BANDS, 5 in a million.
-3. The samples are also folded into an odd sketch: each flips one of SKETCH bits. The bits in which two sketches differ
-   estimate the Jaccard similarity well where it is high; candidates below FLOOR (six standard deviations under the
-   threshold) are dropped before their sets are fetched.
+   are pre-aggregated before anything else is shuffled, and need no pairs. A node's id is 64 bits of its set's digest; the
+   other bits are compared, and should two sets ever share an id, the ids are drawn anew with another salt.
+2. MinHash samples of a set (PERMUTATIONS) make BANDS bands of ROWS samples; nodes that share a band are candidates. At the
+   threshold a pair shares none with probability (1 - 0.75**ROWS)**BANDS, 8 in a million.
+3. Shingles that no other text has bound what two sets can share, and so do their sizes: pairs (and nodes) that these exact
+   bounds rule out are never tested. The samples are folded into an odd sketch:
+   each flips one of SKETCH bits. The bits in which two sketches differ estimate a high Jaccard similarity well;
+   candidates below FLOOR (more than four standard deviations under the threshold) are dropped before sets are fetched.
 4. The others are confirmed on the full sets. Components of the confirmed links are the groups.
 
-No band is gathered and no band's pairs are all made: a round ties a band's members to a few pivots by joins, which Spark
-can split where a band is hot. Members that are already in one component need no test. Later rounds take pivots from a
-band's smaller components, until no band holds two components with an untested pair: no link is lost to skew, and no cap
-is set.
+No band is gathered and no band's pairs are all made: the first round ties a band's members to its least node, by an
+aggregation and a join that Spark can split where a band is hot. Members that came into one component need no further
+test. In SAMPLED further rounds a band's largest component meets the other members by two of its own; later rounds take
+PIVOTS pivots a band, from its smaller components first, until no band holds two components with an untested pair: no
+link is lost to skew, and no cap is set.
 
 Full sets are made only for nodes in a candidate pair, from the texts again: their keys go to all tasks while there are at
 most BROADCAST_KEYS, else they are joined.
@@ -24,8 +27,11 @@ repeated rows are linked with each other; an empty table gives no row.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +41,11 @@ from .components import components
 from .decontaminate import LOWER, _arrow
 
 SHINGLE, THRESHOLD = 5, 75
-BANDS, ROWS = 32, 4
-PERMUTATIONS = BANDS * ROWS
-SKETCH, FLOOR = 512, 0.5
-PIVOTS, BROADCAST_KEYS = 64, 1_000_000
+BANDS, ROWS = 60, 6
+#: The bands take the first samples; the sketches take all.
+PERMUTATIONS = 2 * BANDS * ROWS
+SKETCH, FLOOR = 2048, 0.66
+SAMPLED, PIVOTS, BROADCAST_KEYS = 1, 512, 1_000_000
 WORDS = SKETCH // 64
 
 IS_WORD = np.ones(256, bool)
@@ -95,11 +102,97 @@ def _text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, t1, t2 (of the text), n, node (binary, null for the empty set), bands, s0 .. s7."""
+def can_link(n: Column, s: Column, m: Column, t: Column) -> Column:
+    """Whether sets of n and m shingles, of which s and t are not theirs alone, can reach the threshold."""
+    both = F.least(s, t)
+    return 100 * both >= THRESHOLD * (n + m - both)
+
+
+def _node_ids(hashes: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+    """128 bits of each non-empty set's digest, in two columns."""
+    first = at[:-1][np.diff(at) > 0]
+    seeds = (0x9E3779B97F4A7C15 + salt, 0x5851F42D4C957F2D)
+    out = [mix(np.add.reduceat(mix(hashes ^ np.uint64(x)), first)) if len(first) else np.zeros(0, np.uint64) for x in seeds]
+    return np.stack(out, 1).view(np.int64)
+
+
+KEYS, NODES = 0, 1
+CHUNK_BYTES, CHUNK_ROWS, BUCKET_BYTES = 2 << 20, 60_000, 6 << 20
+SENT = "chunk long, kind int, bucket int, payload binary"
+
+
+def shared_counts(docs: DataFrame, text: str, salt: int, shingles: int) -> DataFrame:
+    """(node, s): how many of a node's shingles another text has too (or seems to have: 40 bits and the bucket are compared).
+
+    Shingles travel as packed blocks, one for each bucket and chunk of texts; a bucket answers with a count for each text.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(1 << 23, max(4 * partitions, -(-7 * shingles // BUCKET_BYTES)))
+
+    def send(batches):
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for lo, top in slices(offsets, CHUNK_BYTES):
+                for a in range(lo, top, CHUNK_ROWS):
+                    z = min(top, a + CHUNK_ROWS)
+                    hashes, at = shingle_sets(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+                    ids = _node_ids(hashes, at, salt)[:, 0]
+                    nodes, one = np.unique(ids, return_index=True)  # copies within a chunk count once
+                    full = np.flatnonzero(np.diff(at))[one]
+                    sizes = np.diff(at)[full]
+                    index = np.repeat(np.arange(len(full)), sizes)
+                    keys = hashes[np.repeat(at[full] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(index))]
+                    bucket = ((keys & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+                    by = np.argsort(bucket, kind="stable")
+                    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                    index, high = index[by].astype("<u2"), np.ascontiguousarray(keys[by]).view(np.uint8).reshape(-1, 8)[:, 3:]
+                    rows = [(number, KEYS, b, index[c:d].tobytes() + high[c:d].tobytes()) for b, (c, d) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if d > c]
+                    rows.append((number, NODES, number % buckets, nodes.astype("<i8").tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "kind", "bucket", "payload"])
+                    number += 1
+
+    def answer(key, table):
+        kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
+        sent = [i for i, k in enumerate(kinds) if k == KEYS]
+        if sent:
+            sizes = [len(payloads[i]) // 7 for i in sent]
+            wide = np.zeros((sum(sizes), 8), np.uint8)
+            at = 0
+            for i, n in zip(sent, sizes):
+                wide[at : at + n, :5] = np.frombuffer(payloads[i], np.uint8)[2 * n :].reshape(-1, 5)
+                at += n
+            keys = wide.view("<u8")[:, 0]
+            by = np.argsort(keys, kind="stable")
+            same = np.zeros(len(by) + 1, bool)
+            same[1:-1] = keys[by][1:] == keys[by][:-1]
+            shared = np.empty(len(by), bool)
+            shared[by] = same[:-1] | same[1:]
+            for i, part in zip(sent, np.split(shared, np.cumsum(sizes)[:-1])):
+                index = np.frombuffer(payloads[i], "<u2")[: len(part)] if len(payloads[i]) % 2 == 0 else np.frombuffer(payloads[i][: 2 * len(part)], "<u2")
+                payloads[i] = zlib.compress(np.bincount(index[part]).astype("<u4").tobytes(), 1)
+        return pa.table({"chunk": table.column("chunk"), "kind": table.column("kind"), "bucket": table.column("bucket"), "payload": pa.array(payloads, pa.binary())})
+
+    def add(key, table):
+        kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
+        nodes = np.frombuffer(payloads[kinds.index(NODES)], "<i8")
+        total = np.zeros(len(nodes), np.int64)
+        for k, raw in zip(kinds, payloads):
+            if k == KEYS:
+                counts = np.frombuffer(zlib.decompress(raw), "<u4")
+                total[: len(counts)] += counts
+        return pa.table({"node": pa.array(nodes, pa.int64()), "s": pa.array(total, pa.int64())})
+
+    sent = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(send, SENT)
+    answered = sent.groupBy("bucket").applyInArrow(answer, SENT)
+    return answered.groupBy("chunk").applyInArrow(add, "node long, s long").groupBy("node").agg(F.max("s").alias("s"))
+
+
+def signatures(docs: DataFrame, key: str, text: str, salt: int = 0) -> DataFrame:
+    """key, t1, t2 (of the text), n, node (null for the empty set), rest (of the digest), bands, s0, s1 .."""
     t = F.col(f"`{text}`")
     state = docs.select(F.col(f"`{key}`").alias("key"), *_text_keys(t), t.alias("t"))
-    extra = T._parse_datatype_string("n long, node binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS)))
+    extra = T._parse_datatype_string("n long, node long, rest long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS)))
     schema = T.StructType([*state.schema.fields[:3], *extra.fields])
     arrow = _arrow(schema)
 
@@ -111,14 +204,12 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 n = np.diff(at)
                 full = np.flatnonzero(n)
                 sampled = samples(hashes, at)
-                bands = mix((sampled.reshape(-1, BANDS, ROWS) * _BAND).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                one = np.add.reduceat(mix(hashes), at[:-1][full]) if len(full) else np.zeros(0, np.uint64)
-                two = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][full]) if len(full) else np.zeros(0, np.uint64)
-                digest = np.stack([one, two], 1).astype("<u8")
+                bands = mix((sampled[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) * _BAND).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+                digest = _node_ids(hashes, at, salt)
                 place = np.full(hi - lo, -1)
                 place[full] = np.arange(len(full))
                 nulls = pa.array(place, pa.int64(), mask=place < 0)
-                values = [pa.array([d.tobytes() for d in digest], pa.binary()), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))]
+                values = [*(pa.array(d) for d in np.ascontiguousarray(digest.T)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))]
                 values += [pa.array(s) for s in np.ascontiguousarray(odd_sketches(sampled).view("<i8").T)]
                 columns = [*(c.slice(lo, hi - lo) for c in batch.columns[:3]), pa.array(n), *(v.take(nulls) for v in values)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
@@ -131,8 +222,8 @@ def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     t = F.col(f"`{text}`")
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
-    rows = docs.select(*_text_keys(t), t.alias("t")).join(wanted, ["t1", "t2"]).select("node", "t")
-    schema = "node binary, set binary"
+    rows = docs.select(*_text_keys(t), t.alias("t")).join(wanted, ["t1", "t2"]).select("node", "t").dropDuplicates(["node"])
+    schema = "node long, set binary"
 
     def run(batches):
         for batch in batches:
@@ -140,9 +231,9 @@ def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
             for lo, hi in slices(offsets):
                 hashes, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 sets = pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.binary()), sets], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], names=["node", "set"])
 
-    return rows.mapInArrow(run, schema).dropDuplicates(["node"])
+    return rows.mapInArrow(run, schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -159,65 +250,98 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.cast(pa.binary()).filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u binary, v binary")
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def nearest(links: DataFrame) -> DataFrame:
+    """(node, comp): the least node that a link or two lead to. Nodes of one comp are in one component; a component may have several."""
+    both = links.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionAll(links.select(F.col("u").alias("node"), F.col("v").alias("comp")))
+    least = both.groupBy("node").agg(F.least(F.min("comp"), F.col("node")).alias("comp"))
+    via = least.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
+    return least.join(via, "comp").select("node", F.col("further").alias("comp"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links between their components."""
+    for c in ("u", "v"):
+        links = links.join(labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}c")), c, "left").withColumn(f"{c}c", F.coalesce(f"{c}c", c))
+    moved = nearest(links.where("uc <> vc").select(F.col("uc").alias("u"), F.col("vc").alias("v"))).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    kept = labels.join(moved, labels.comp == moved.old, "full_outer")
+    return kept.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "comp").alias("comp")).distinct()
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(key, t1, t2, n, node, group) of every row: group is the least key of the row's component."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    sig = scratch.keep(signatures(docs, key, text), "signatures")
     sketch = [f"s{i}" for i in range(WORDS)]
-    nodes = scratch.keep(sig.where("n > 0").dropDuplicates(["node"]).select("node", "t1", "t2", "n", "bands", *sketch), "nodes")
-    members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("p")).where("c > 1")
+    salt = 0
+    while True:
+        sig = scratch.keep(signatures(docs, key, text, salt), "signatures")
+        nodes = sig.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("t1", "t2", "n", "bands", *sketch)], (F.min("rest") < F.max("rest")).alias("clash"))
+        nodes = scratch.keep(nodes, "nodes")
+        if nodes.where("clash").isEmpty():
+            break
+        salt += 1
+    shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bounds = scratch.keep(shared_counts(docs, text, salt, shingles), "bounds")
+    size = ["n", "s"]
+    # A node with too many shingles of its own can have no link, and isn't banded.
+    members = nodes.select("node", "n", "bands").join(bounds, "node").where(100 * F.col("s") >= THRESHOLD * F.col("n"))
+    members = members.select("node", *[F.col(c).cast("int") for c in size], F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct("node", *size)).alias("p")).where("c > 1")
     # Round 1: every member of a shared band against the band's least node.
-    active = scratch.keep(members.join(shared.select("band", "p"), "band"), "members")
-    pairs = active.where("node <> p").select(F.col("p").alias("u"), F.col("node").alias("v")).distinct()
-    active = active.where("node <> p").select("band", "node")
-    links = sets = labels = None
+    active = scratch.keep(members.join(shared.select("band", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps")), "band").where("node <> p"), "members")
+    linkable = can_link(F.col("n"), F.col("s"), F.col("pn"), F.col("ps"))
+    pairs = active.where(linkable).select(F.col("p").alias("u"), F.col("node").alias("v")).distinct()
+    active = active.select("band", "node", *size)
     small = nodes.select("node", *sketch)
+    links = sets = labels = None
+    sampled = 0
     while True:
         near = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in sketch) <= most_bits()
         pairs = pairs.join(small.alias("b"), F.col("v") == F.col("b.node")).join(small.alias("a"), F.col("u") == F.col("a.node")).where(near).select("u", "v")
         pairs = scratch.keep(pairs, "pairs")
-        asked = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
-        if sets is not None:
-            asked = asked.join(sets, "node", "left_anti")
-        asked = scratch.keep(asked.join(nodes.select("node", "t1", "t2"), "node"), "asked")
-        if not asked.isEmpty():
-            made = scratch.keep(full_sets(docs, text, asked), "sets")
+        if not pairs.isEmpty():
+            asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            if sets is not None:
+                asked = asked.join(sets, "node", "left_anti")
+            made = scratch.keep(full_sets(docs, text, scratch.keep(asked.join(nodes.select("node", "t1", "t2"), "node"), "asked")), "sets")
             sets = made if sets is None else sets.unionAll(made)
-        if sets is None:
-            break
-        found = scratch.keep(confirmed(pairs, sets), "links")
-        if not found.isEmpty():
-            if labels is None:
-                labels = components(found, scratch)
-            else:  # components of components
-                ends = found
-                for c in ("u", "v"):
-                    ends = ends.join(labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}c")), c, "left")
-                joined = components(ends.select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v")), scratch)
-                joined = joined.select(F.col("node").alias("old"), F.col("comp").alias("new"))
-                moved = labels.join(joined, labels.comp == joined.old, "left").select("node", F.coalesce("new", "comp").alias("comp"))
-                fresh = joined.join(labels, joined.old == labels.node, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("comp"))
-                labels = moved.unionAll(fresh)
-            labels = scratch.keep(labels, "labels")
+            found = scratch.keep(confirmed(pairs, sets), "links")
+            links = found if links is None else links.unionAll(found)
+            labels = scratch.keep(nearest(found) if labels is None else merged(labels, found), "labels")
         comp = F.coalesce(F.col("comp"), F.col("node")).alias("comp")
-        state = (active.join(labels, "node", "left") if labels is not None else active.withColumn("comp", F.lit(None).cast("binary"))).select("band", "node", comp)
+        state = (active.join(labels, "node", "left") if labels is not None else active.withColumn("comp", F.lit(None).cast("long"))).select("band", "node", *size, comp)
         several = state.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
         state = scratch.keep(state.join(several, "band"), "state")
         if state.isEmpty():
             break
         sizes = state.groupBy("band", "comp").agg(F.count("*").alias("c"))
+        if sampled < SAMPLED:
+            # Members outside a band's largest component meet two of its members, which differ from band to band: a group of
+            # near copies of which some missed the least node comes together here, by as many tests as there are members.
+            sampled += 1
+            largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("pc"))
+            spread = F.struct(F.xxhash64("node", "band").alias("h"), "node", *size)
+            both = state.join(largest, "band").where("comp = pc").groupBy("band", "pc").agg(F.array(F.min(spread), F.max(spread)).alias("r"))
+            tests = state.join(both, "band").where("comp <> pc").select("node", *size, F.explode("r").alias("r")).where(can_link(F.col("n"), F.col("s"), F.col("r.n"), F.col("r.s")))
+            pairs = tests.select(F.least("node", "r.node").alias("u"), F.greatest("node", "r.node").alias("v")).distinct()
+            active = state.select("band", "node", *size)
+            continue
         turn = Window.partitionBy("band").orderBy("c", "comp", "node")
         pivots = state.join(sizes, ["band", "comp"]).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PIVOTS)
-        pivots = scratch.keep(pivots.select("band", F.col("node").alias("p"), F.col("comp").alias("pc")), "pivots")
-        pairs = state.join(pivots, "band").where("comp <> pc").select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v")).distinct()
-        active = state.join(pivots, (state.band == pivots.band) & (state.node == pivots.p), "left_anti").select("band", "node")
+        pivots = scratch.keep(pivots.select("band", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("comp").alias("pc")), "pivots")
+        # Pivots meet each other once: the greater node's row makes the pair.
+        is_pivot = state.join(pivots.select("band", F.col("p").alias("node"), F.lit(True).alias("also")), ["band", "node"], "left")
+        apart = (F.col("comp") != F.col("pc")) & linkable & (F.col("also").isNull() | (F.col("node") > F.col("p")))
+        tests = is_pivot.alias("x").join(pivots.alias("y"), (F.col("x.band") == F.col("y.band")) & apart)
+        pairs = tests.select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v")).distinct()
+        active = is_pivot.where("also is null").select("band", "node", *size)
+    if links is not None:
+        labels = components(links, scratch)
     least = sig.where("n > 0").groupBy("node").agg(F.min("key").alias("least"))
     if labels is not None:
         least = least.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
