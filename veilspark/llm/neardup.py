@@ -117,7 +117,7 @@ def _node_ids(hashes: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
 
 
 KEYS, NODES = 0, 1
-CHUNK_BYTES, CHUNK_ROWS, BUCKET_BYTES = 2 << 20, 60_000, 6 << 20
+CHUNK_BYTES, CHUNK_ROWS, BUCKET_BYTES = 1 << 20, 60_000, 6 << 20
 SENT = "chunk long, kind int, bucket int, payload binary"
 
 
