@@ -349,6 +349,17 @@ def test_extraction(spark, empty):
     assert extract.extract(df.where("false")).count() == 0
 
 
+def texts_of(spark, rows, partitions=3):
+    """page_id -> text of rows (page_id, url, html)."""
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)
+    return {r.page_id: r.text for r in extract.extract(df).select("doc.page_id", "text").collect()}
+
+
+def test_extraction_counts_copies_once_over_all_tasks(spark):
+    rows = [(i, "https://one.example/", "<p>The only page of its host.</p>") for i in range(40)]
+    assert set(texts_of(spark, rows, 20).values()) == {"The only page of its host."}
+
+
 def test_tree_matching():
     a, b = (extract.folded(extract.parse(x)) for x in ("<div><p>1</p><ul><li>x</li></ul><span>s</span></div>", "<div><h2>n</h2><p>2</p><ul><li>x</li><li>y</li></ul></div>"))
     assert extract.match(a[extract.CHILDREN], b[extract.CHILDREN]) == [(0, 0)]

@@ -14,11 +14,12 @@ go, and count as varying then). Pages meet their host's wrapper by a join, which
 together have at most BROADCAST_BYTES.
 
 Defined results: null or empty html gives the empty text; a host with fewer than MIN_PAGES pages has no constant nodes;
-pages whose url is null or has no host share the host ""; repeated pages are answered each, and count once a task; an empty table gives no row.
+pages whose url is null or has no host share the host ""; repeated pages are answered each, and count once a host; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -294,15 +295,25 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, wrapper as JSON) from rows (host, html)."""
     schema = "host string, turn long, wrapper string"
 
+    def trees(batches):
+        seen: set[tuple] = set()
+        for batch in batches:
+            rows = []
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if source and (row := (host, hashlib.blake2b(source.encode(), digest_size=16).digest())) not in seen:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(row)
+                    rows.append((*row, json.dumps(folded(parse(source)))))
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.string()))], names=["host", "mark", "tree"])
+
     def induce(batches):
         own: dict[str, list] = {}
-        seen: set[int] = set()
         for batch in batches:
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if source and (mark := hash((host, source))) not in seen:  # copies of a page don't make it template
-                    seen.add(mark)
-                    one = folded(parse(source))
-                    own[host] = pruned(laid(own[host], one)) if host in own else one
+            for host, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                one = json.loads(tree)
+                own[host] = pruned(laid(own[host], one)) if host in own else one
             if len(own) > 20_000:  # bounded memory where hosts are many
                 yield out(own)
                 own = {}
@@ -319,7 +330,9 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
             merged = one if merged is None else pruned(laid(merged, one))
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "turn": pa.array([0], pa.int64()), "wrapper": pa.array([json.dumps(merged)], pa.string())})
 
-    now = scratch.keep(pages.mapInArrow(induce, schema), "wrappers")
+    # Copies of a page don't make it template: each different page of a host counts once, wherever its copies lie.
+    once = pages.mapInArrow(trees, "host string, mark binary, tree string").groupBy("host", "mark").agg(F.first("tree").alias("tree"))
+    now = scratch.keep(scratch.keep(once.select("host", "tree"), "trees").mapInArrow(induce, schema), "wrappers")
     while True:
         most = now.groupBy("host").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
