@@ -360,6 +360,12 @@ def test_extraction_counts_copies_once_over_all_tasks(spark):
     assert set(texts_of(spark, rows, 20).values()) == {"The only page of its host."}
 
 
+def test_extraction_compares_whole_texts(spark):
+    start = "A standing introduction of many words. " * 8
+    rows = [(i, "https://x.example/", f"<div>{start}News {i}.</div>") for i in range(8)]
+    assert texts_of(spark, rows) == {i: f"{start}News {i}." for i in range(8)}
+
+
 def test_tree_matching():
     a, b = (extract.folded(extract.parse(x)) for x in ("<div><p>1</p><ul><li>x</li></ul><span>s</span></div>", "<div><h2>n</h2><p>2</p><ul><li>x</li><li>y</li></ul></div>"))
     assert extract.match(a[extract.CHILDREN], b[extract.CHILDREN]) == [(0, 0)]

@@ -131,11 +131,12 @@ def parse(source: str) -> Node:
 
 
 def own_text(node: Node) -> str:
-    """The text directly in a node, in short, to compare it between pages."""
-    return " ".join(" ".join(c.text for c in node.children if c.tag == "#").split())[:200]
+    """The digest of the whole text directly in a node, to compare it between pages; "" if there is none."""
+    text = " ".join(" ".join(c.text for c in node.children if c.tag == "#").split())
+    return text and hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
 
 
-#: A wrapper node is a list: label, pages, pages with the same text, that text, children.
+#: A wrapper node is a list: label, pages, pages with the same text, its digest, children.
 LABEL, PAGES, SAME, TEXT, CHILDREN = range(5)
 
 
