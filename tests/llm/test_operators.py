@@ -128,6 +128,16 @@ def test_language(spark, docs, empty):
     assert {x.lang_pred for x in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_sample_counts_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 20)
+    seen = {}
+    monkeypatch.setattr(langid, "Model", lambda samples: seen.update(samples))
+    rows = [("a copy", "hot")] * 5000 + [(prose(5, i), "hot") for i in range(100)] + [(f"rare {i % 10}", "few") for i in range(2000)] + [("long " * 5000 + str(i), "long") for i in range(3)]
+    langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    assert {name: len(set(texts)) for name, texts in seen.items()} == {"hot": 20, "few": 10, "long": 3}
+    assert {name: len(texts) for name, texts in seen.items()} == {"hot": 20, "few": 10, "long": 3}
+
+
 def test_code_lengths_are_those_of_ppm():
     """The tables against contexts walked one byte at a time, with exclusion."""
     texts = {"a": [b"abracadabra", b"banana"], "b": [b"zebra zzz"]}

@@ -10,8 +10,9 @@ equal priors.
 As the statistics are frozen, the code length of each (context, byte) is a table entry, and a text is scored by table
 lookups: contexts of all languages share one tree, and its table has a column for each language.
 
-The model learns from a bounded sample: of each language PER_LANGUAGE texts of at most SAMPLE_CHARS characters, chosen by
-their hash; all texts are scored whole.
+The model learns from a bounded sample: of each language PER_LANGUAGE different texts of at most SAMPLE_CHARS characters (all,
+if it has fewer), chosen by their hash. A language that has only longer texts is learned from those, whole, up to
+PER_LANGUAGE * SAMPLE_CHARS characters or one text. All texts are scored whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the language first in
 order; without any labelled text every row is ``und``; rows keep their multiplicity.
@@ -19,8 +20,6 @@ order; without any labelled text every row is ``und``; rows keep their multiplic
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -146,16 +145,34 @@ class Model:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts the context trees on the bounded sample."""
     rows = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("t is not null and l is not null")
-    rows = rows.where(F.length("t").between(1, SAMPLE_CHARS))
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    rows = rows.where("t <> ''").select("l", "t", F.sha2("t", 256).alias("d"), F.length("t").alias("n"))
+    each = rows.groupBy("l", "d").agg(F.first("n").alias("n"))  # a text counts once a language, however often it is repeated
+    short = F.col("n") <= SAMPLE_CHARS
+    counts = {r["l"]: (r["short"], r["all"]) for r in each.groupBy("l").agg(F.count_if(short).alias("short"), F.count("*").alias("all")).collect()}
     if not counts:
         return Model({})
+    usable = short | F.col("l").isin([name for name, (n, _) in counts.items() if not n])
+    left = {name: n or all_ for name, (n, all_) in counts.items()}
     # Chosen by hash, so that no task ranks a language's texts; some more than asked for, then exactly that many.
-    some = thinned(rows, F.col("t"), PER_LANGUAGE + PER_LANGUAGE // 2, F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("l")))
-    found: dict[str, list[bytes]] = {}
-    for r in some.select("l", "t").distinct().collect():
-        found.setdefault(r["l"], []).append(r["t"].encode())
-    samples = {name: sorted(texts, key=lambda t: (zlib.crc32(t), t))[:PER_LANGUAGE] for name, texts in found.items()}
+    picked, most = [], PER_LANGUAGE + PER_LANGUAGE // 2
+    while left:
+        total = F.element_at(F.create_map(*[F.lit(x) for pair in left.items() for x in pair]), F.col("l"))
+        drawn: dict[str, list[tuple]] = {}
+        for r in thinned(each.where(usable & F.col("l").isin(list(left))), F.col("d"), most, total).collect():
+            drawn.setdefault(r["l"], []).append((r["d"], r["n"]))
+        for name, texts in drawn.items():
+            if len(texts) >= min(PER_LANGUAGE, left[name]):
+                del left[name]
+                room = PER_LANGUAGE * SAMPLE_CHARS
+                for i, (digest, n) in enumerate(sorted(texts)[:PER_LANGUAGE]):
+                    room -= n
+                    if room >= 0 or not i:  # only texts over SAMPLE_CHARS can fill it
+                        picked.append((name, digest))
+        most *= 4  # redrawn at a higher rate
+    wanted = F.broadcast(labelled.sparkSession.createDataFrame(picked, "l string, d string"))
+    samples: dict[str, list[bytes]] = {}
+    for r in sorted(rows.join(wanted, ["l", "d"]).groupBy("l", "d").agg(F.first("t").alias("t")).collect(), key=lambda r: (r["l"], r["d"])):
+        samples.setdefault(r["l"], []).append(r["t"].encode())
     return Model(samples)
 
 
