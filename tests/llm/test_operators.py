@@ -316,6 +316,16 @@ def test_near_duplicates(docs, empty, spark):
     assert sorted((r.n, r.group is None) for r in neardup.groups(no_ids).collect()) == [(0, True), (1, False), (1, True), (1, True)]
 
 
+def test_one_row_of_each_group_is_kept(spark):
+    a, b = prose(120, 1), prose(60, 2)
+    near = a.replace(a.split()[5], "changed", 1)
+    rows = [(1, a)] * 5 + [(1, near), (2, a), (None, a), (3, "alone")] + [(None, b)] * 4 + [(4, None), (4, None)]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = [(r.doc_id, r.text) for r in kept]
+    assert len(left) == 5 and left.count((None, b)) == 1 and left.count((3, "alone")) == 1 and left.count((4, None)) == 2
+    assert sum(left.count((1, t)) for t in (a, near)) == 1
+
+
 def test_near_duplicates_in_dissimilar_bands(spark, monkeypatch):
     """Many texts share a passage, few of them are near copies: pivots must find those in later rounds."""
     monkeypatch.setattr(neardup, "PIVOTS", 2)

@@ -273,7 +273,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """(key, t1, t2, n, node, group) of every row: group is the least key of the row's component."""
+    """(key, t1, t2, n, node, comp, group) of every row: group is the least key of the row's component comp (null for the empty set)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     sketch = [f"s{i}" for i in range(WORDS)]
@@ -346,19 +346,36 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Sc
     if labels is not None:
         least = least.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         by = least.groupBy("comp").agg(F.min("least").alias("g"))
-        least = least.join(by, "comp").select("node", F.col("g").alias("least"))
+        least = least.join(by, "comp").select("node", "comp", F.col("g").alias("least"))
+    else:
+        least = least.withColumn("comp", F.col("node"))
     out = sig.select("key", "t1", "t2", "n", "node").join(least, "node", "left")
-    return out.select("key", "t1", "t2", "n", "node", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("group"))
+    return out.select("key", "t1", "t2", "n", "node", "comp", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("group"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group, as it is: that of the group's id; rows that repeat it, key and all, go too."""
-    found = groups(docs, key, text)
-    go = found.where(~F.col("key").eqNullSafe(F.col("group"))).select(F.col("key").alias("k"), F.col("t1").alias("x1"), F.col("t2").alias("x2")).distinct()
+    """One row of each group, as it is: one of the group's id; among texts under that id the one of the least digest. Rows with the empty set are groups of their own."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(groups(docs, key, text, scratch).where("n > 0").select("key", "t1", "t2", "comp", "group"), "found")
+    is_id = F.col("key").eqNullSafe(F.col("group"))
+    ids = found.where(is_id).groupBy("comp", "key", "t1", "t2").agg(F.count("*").alias("c"))
+    best = ids.groupBy("comp").agg(F.min(F.struct("t1", "t2")).alias("w"))
+    ids = scratch.keep(ids.join(best, "comp").withColumn("kept", F.struct("t1", "t2") == F.col("w")), "ids")
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     t = F.col(names[text])
     rows = rows.withColumn("x1", _text_keys(t)[0]).withColumn("x2", _text_keys(t)[1])
-    small = go.count() <= BROADCAST_KEYS
-    rows = rows.join(F.broadcast(go) if small else go, F.col(names[key]).eqNullSafe(F.col("k")) & (rows.x1 == go.x1) & (rows.x2 == go.x2), "left_anti")
-    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    def matched(some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("key").alias("k"), F.col("t1").alias("y1"), F.col("t2").alias("y2")).distinct()
+        small = some.count() <= BROADCAST_KEYS
+        on = F.col(names[key]).eqNullSafe(F.col("k")) & (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))
+        return rows.join(F.broadcast(some) if small else some, on, how)
+
+    columns = ("key", "t1", "t2")
+    again = ids.where("kept and c > 1").select(*columns)
+    go = found.where(~is_id).select(*columns).unionAll(ids.where("not kept").select(*columns))
+    once = matched(go.unionAll(again), "left_anti")
+    if not again.isEmpty():  # repeated rows of the kept one: only these are moved
+        once = once.unionAll(matched(again, "left_semi").dropDuplicates([names[key], "x1", "x2"]))
+    return once.select(*[F.col(n).alias(c) for c, n in names.items()])
