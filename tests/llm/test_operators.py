@@ -386,6 +386,24 @@ def test_extraction_compares_whole_texts(spark):
     assert texts_of(spark, rows) == {i: f"{start}News {i}." for i in range(8)}
 
 
+def test_extraction_holds_large_templates(spark):
+    letters = "bcdfghjklmnpqrtvwxyz"
+    entries = "".join(f'<div class="{a}{b}q">Entry {a}{b}</div>' for a in letters for b in letters)
+    rows = [(i, "https://x.example/", f"<h2>Top</h2>{entries}<h3>End</h3><p>News {i}.</p>") for i in range(8)]
+    assert texts_of(spark, rows) == {i: f"News {i}." for i in range(8)}
+
+
+def test_wrappers_keep_what_most_pages_have():
+    page = lambda i: extract.folded(extract.parse(f"<h2>Top</h2><div class='{'ab'[i > 100]}'>x</div>" + "".join(f"<p class='{chr(97 + i % 26)}{chr(97 + i // 26)}{c}'>y</p>" for c in "klm")))
+    wrapper = page(0)
+    for i in range(1, 600):
+        wrapper = extract.laid(wrapper, page(i))
+        if wrapper[extract.PAGES] % extract.WIDTH == 0:
+            wrapper = extract.pruned(wrapper)
+    kept = {c[extract.LABEL]: c[extract.PAGES] for c in wrapper[extract.CHILDREN]}
+    assert kept["h2"] == 600 and kept["div b"] == 499 and len(kept) < 500
+
+
 def test_tree_matching():
     a, b = (extract.folded(extract.parse(x)) for x in ("<div><p>1</p><ul><li>x</li></ul><span>s</span></div>", "<div><h2>n</h2><p>2</p><ul><li>x</li><li>y</li></ul></div>"))
     assert extract.match(a[extract.CHILDREN], b[extract.CHILDREN]) == [(0, 0)]

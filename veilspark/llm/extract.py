@@ -9,8 +9,9 @@ says that it is never an article's text (menu, header, footer, sidebar, notice,
 page marks its main part (``article``, ``main``), content outside it is left out.
 
 Every page counts: each task lays its pages over its own wrapper of their host; the tasks' wrappers of a host are merged in
-rounds of MERGED at a time, so that a hot host never meets in one task. A wrapper holds at most MAX_NODES nodes (the rarest
-go, and count as varying then). Pages meet their host's wrapper by a join, which is a broadcast only while all wrappers
+rounds of MERGED at a time, so that a hot host never meets in one task. A wrapper of more than MAX_NODES nodes loses those on
+at most one of WIDTH pages laid so far, by lossy counting: a node keeps how many pages it may have been missed on (at most
+that share), so that a node on more pages is never cut, however many there are. Pages meet their host's wrapper by a join, which is a broadcast only while all wrappers
 together have at most BROADCAST_BYTES.
 
 Defined results: null or empty html gives the empty text; a host with fewer than MIN_PAGES pages has no constant nodes;
@@ -33,6 +34,8 @@ from .common import Scratch
 from .decontaminate import _arrow
 
 MIN_PAGES, CONSTANT, MAX_NODES, MERGED = 5, 0.8, 400, 16
+#: A wrapper of more than MAX_NODES nodes loses those on at most one of so many pages.
+WIDTH = 50
 BROADCAST_BYTES = 8 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -136,8 +139,9 @@ def own_text(node: Node) -> str:
     return text and hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
 
 
-#: A wrapper node is a list: label, pages, pages with the same text, its digest, children.
-LABEL, PAGES, SAME, TEXT, CHILDREN = range(5)
+#: A wrapper node is a list: label, pages, pages with the same text, its digest, children, pages
+#: before them that it may have been on uncounted.
+LABEL, PAGES, SAME, TEXT, CHILDREN, MISSED = range(6)
 
 
 def folded(node: Node) -> list:
@@ -151,7 +155,7 @@ def folded(node: Node) -> list:
             children[-1] = laid(children[-1], one, repeated=True)
         else:
             children.append(one)
-    return [node.label, 1, 1, own_text(node), children]
+    return [node.label, 1, 1, own_text(node), children, 0]
 
 
 def match(a: list[list], b: list[list]) -> list[tuple[int, int]]:
@@ -183,40 +187,43 @@ def weight(a: list, b: list) -> int:
 
 def laid(a: list, b: list, repeated: bool = False) -> list:
     """Two wrappers as one. repeated: b is a further sibling on the same page, which makes its text a varying one."""
+    return _laid(a, b, repeated, 0 if repeated else a[PAGES] // WIDTH, 0 if repeated else b[PAGES] // WIDTH)
+
+
+def _laid(a: list, b: list, repeated: bool, lost_a: int, lost_b: int) -> list:
+    """lost_a, lost_b: the most pages on which a node that the wrapper a or b doesn't hold can have been."""
     pairs = match(a[CHILDREN], b[CHILDREN])
     children, i, j = [], 0, 0
     for x, y in [*pairs, (len(a[CHILDREN]), len(b[CHILDREN]))]:
-        children += a[CHILDREN][i:x] + b[CHILDREN][j:y]
+        children += [missed(c, lost_b) for c in a[CHILDREN][i:x]] + [missed(c, lost_a) for c in b[CHILDREN][j:y]]
         if x < len(a[CHILDREN]):
-            children.append(laid(a[CHILDREN][x], b[CHILDREN][y], repeated))
+            children.append(_laid(a[CHILDREN][x], b[CHILDREN][y], repeated, lost_a, lost_b))
         i, j = x + 1, y + 1
     same = a[TEXT] == b[TEXT]
     if repeated:
-        return [a[LABEL], a[PAGES], a[SAME] if same else 0, a[TEXT], children]
+        return [a[LABEL], a[PAGES], a[SAME] if same else 0, a[TEXT], children, 0]
+    pages, lost = a[PAGES] + b[PAGES], a[MISSED] + b[MISSED]
     if same:
-        return [a[LABEL], a[PAGES] + b[PAGES], a[SAME] + b[SAME], a[TEXT], children]
+        return [a[LABEL], pages, a[SAME] + b[SAME], a[TEXT], children, lost]
     first = a if a[SAME] >= b[SAME] else b
-    return [a[LABEL], a[PAGES] + b[PAGES], first[SAME], first[TEXT], children]
+    return [a[LABEL], pages, first[SAME], first[TEXT], children, lost]
 
 
-def pruned(wrapper: list) -> list:
-    """At most MAX_NODES nodes: those on the most pages."""
-    sizes: list[int] = []
+def missed(w: list, lost: int) -> list:
+    return [*w[:CHILDREN], [missed(c, lost) for c in w[CHILDREN]], w[MISSED] + lost] if lost else w
 
-    def walk(w: list) -> None:
-        sizes.append(w[PAGES])
-        for c in w[CHILDREN]:
-            walk(c)
 
-    walk(wrapper)
-    if len(sizes) <= MAX_NODES:
-        return wrapper
-    least = sorted(sizes, reverse=True)[MAX_NODES - 1]
+def pruned(wrapper: list) -> list:
+    """Without the nodes that are on at most one of WIDTH pages for certain, if there are more than MAX_NODES."""
+    least = wrapper[PAGES] // WIDTH
+
+    def size(w: list) -> int:
+        return 1 + sum(map(size, w[CHILDREN]))
 
     def cut(w: list) -> list:
-        return [*w[:CHILDREN], [cut(c) for c in w[CHILDREN] if c[PAGES] > least]]
+        return [*w[:CHILDREN], [cut(c) for c in w[CHILDREN] if c[PAGES] + c[MISSED] > least], w[MISSED]]
 
-    return cut(wrapper)
+    return cut(wrapper) if least and size(wrapper) > MAX_NODES else wrapper
 
 
 def template(node: Node, wrapper: list | None, found: set[int]) -> None:
@@ -314,7 +321,9 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
         for batch in batches:
             for host, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 one = json.loads(tree)
-                own[host] = pruned(laid(own[host], one)) if host in own else one
+                own[host] = laid(own[host], one) if host in own else one
+                if own[host][PAGES] % WIDTH == 0:
+                    own[host] = pruned(own[host])
             if len(own) > 20_000:  # bounded memory where hosts are many
                 yield out(own)
                 own = {}
