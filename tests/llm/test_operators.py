@@ -393,6 +393,11 @@ def test_extraction_holds_large_templates(spark):
     assert texts_of(spark, rows) == {i: f"News {i}." for i in range(8)}
 
 
+def test_extraction_counts_texts_over_all_pages(spark):
+    rows = [(10 * h + i, f"https://h{h}.example/", f"<p>News {h} {i}.</p><h2>{'Old' if i == 0 else 'New'} rules apply</h2>") for h in range(40) for i in range(6)]
+    assert texts_of(spark, rows) == {10 * h + i: f"News {h} {i}." + " Old rules apply" * (i == 0) for h in range(40) for i in range(6)}
+
+
 def test_wrappers_keep_what_most_pages_have():
     page = lambda i: extract.folded(extract.parse(f"<h2>Top</h2><div class='{'ab'[i > 100]}'>x</div>" + "".join(f"<p class='{chr(97 + i % 26)}{chr(97 + i // 26)}{c}'>y</p>" for c in "klm")))
     wrapper = page(0)

@@ -2,8 +2,8 @@
 
 A page is parsed to a tree; a node's label is its tag with its class, id and role, and runs of alike siblings (paragraphs,
 list items) fold into one repeated node. Pages of a host are aligned by simple tree matching (the largest set of node pairs
-that keeps labels, order and parents), which lays a page over the host's wrapper: a matched node counts one page more, and
-whether its text is the wrapper's; nodes without a partner are added. Nodes whose text is the same on nearly all of the
+that keeps labels, order and parents), which lays a page over the host's wrapper: a matched node counts one page more; nodes without a partner are added. Once the wrapper is whole, all pages
+are laid over it again, and the digests of each node's texts are counted over all of them. Nodes whose text is the same on nearly all of the
 host's pages are template, varying slots are content - unless the tag, class, id or role of the node or of one around it
 says that it is never an article's text (menu, header, footer, sidebar, notice, advert, form, script, comments). Where a
 page marks its main part (``article``, ``main``), content outside it is left out.
@@ -24,8 +24,10 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,9 +141,9 @@ def own_text(node: Node) -> str:
     return text and hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
 
 
-#: A wrapper node is a list: label, pages, pages with the same text, its digest, children, pages
-#: before them that it may have been on uncounted.
-LABEL, PAGES, SAME, TEXT, CHILDREN, MISSED = range(6)
+#: A node is a list: label, pages, further pages that it may have been on uncounted, digest of its text (a page's: None if it
+#: varies within the page; a finished wrapper's: the constant one), children.
+LABEL, PAGES, MISSED, TEXT, CHILDREN = range(5)
 
 
 def folded(node: Node) -> list:
@@ -155,7 +157,7 @@ def folded(node: Node) -> list:
             children[-1] = laid(children[-1], one, repeated=True)
         else:
             children.append(one)
-    return [node.label, 1, 1, own_text(node), children, 0]
+    return [node.label, 1, 0, own_text(node), children]
 
 
 def match(a: list[list], b: list[list]) -> list[tuple[int, int]]:
@@ -199,18 +201,13 @@ def _laid(a: list, b: list, repeated: bool, lost_a: int, lost_b: int) -> list:
         if x < len(a[CHILDREN]):
             children.append(_laid(a[CHILDREN][x], b[CHILDREN][y], repeated, lost_a, lost_b))
         i, j = x + 1, y + 1
-    same = a[TEXT] == b[TEXT]
     if repeated:
-        return [a[LABEL], a[PAGES], a[SAME] if same else 0, a[TEXT], children, 0]
-    pages, lost = a[PAGES] + b[PAGES], a[MISSED] + b[MISSED]
-    if same:
-        return [a[LABEL], pages, a[SAME] + b[SAME], a[TEXT], children, lost]
-    first = a if a[SAME] >= b[SAME] else b
-    return [a[LABEL], pages, first[SAME], first[TEXT], children, lost]
+        return [a[LABEL], a[PAGES], 0, a[TEXT] if a[TEXT] == b[TEXT] else None, children]
+    return [a[LABEL], a[PAGES] + b[PAGES], a[MISSED] + b[MISSED], None, children]
 
 
 def missed(w: list, lost: int) -> list:
-    return [*w[:CHILDREN], [missed(c, lost) for c in w[CHILDREN]], w[MISSED] + lost] if lost else w
+    return [w[LABEL], w[PAGES], w[MISSED] + lost, w[TEXT], [missed(c, lost) for c in w[CHILDREN]]] if lost else w
 
 
 def pruned(wrapper: list) -> list:
@@ -221,16 +218,45 @@ def pruned(wrapper: list) -> list:
         return 1 + sum(map(size, w[CHILDREN]))
 
     def cut(w: list) -> list:
-        return [*w[:CHILDREN], [cut(c) for c in w[CHILDREN] if c[PAGES] + c[MISSED] > least], w[MISSED]]
+        return [*w[:CHILDREN], [cut(c) for c in w[CHILDREN] if c[PAGES] + c[MISSED] > least]]
 
     return cut(wrapper) if least and size(wrapper) > MAX_NODES else wrapper
 
 
+def nodes_of(wrapper: list):
+    """The wrapper's nodes in a fixed order; a node's number is its place in it."""
+    yield wrapper
+    for c in wrapper[CHILDREN]:
+        yield from nodes_of(c)
+
+
+def numbered(raw: str) -> list:
+    wrapper = json.loads(raw)
+    for i, w in enumerate(nodes_of(wrapper)):
+        w[PAGES] = i
+    return wrapper
+
+
+def finished(raw: str, constant: str) -> list:
+    """A wrapper with its constant texts, from JSON."""
+    wrapper, texts = json.loads(raw), {x["node"]: x["digest"] for x in json.loads(constant)}
+    for i, w in enumerate(nodes_of(wrapper)):
+        w[TEXT] = texts.get(i)
+    return wrapper
+
+
+def texts_at(page: list, wrapper: list):
+    """(node number, digest) of a page's nodes that match a numbered wrapper's."""
+    yield wrapper[PAGES], page[TEXT]
+    for i, j in match(page[CHILDREN], wrapper[CHILDREN]):
+        yield from texts_at(page[CHILDREN][i], wrapper[CHILDREN][j])
+
+
 def template(node: Node, wrapper: list | None, found: set[int]) -> None:
     """Marks (by identity) the page's nodes whose own text the wrapper holds constant."""
     if wrapper is None:
         return
-    if wrapper[PAGES] >= MIN_PAGES and wrapper[TEXT] and wrapper[SAME] >= CONSTANT * wrapper[PAGES] and own_text(node) == wrapper[TEXT]:
+    if wrapper[TEXT] and own_text(node) == wrapper[TEXT]:
         found.add(id(node))
     kids: list[list[Node]] = []
     for c in node.children:
@@ -300,7 +326,7 @@ def host_of(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, wrapper as JSON) from rows (host, html)."""
+    """(host, wrapper as JSON, its constant texts as JSON) of hosts with a constant text, from rows (host, html)."""
     schema = "host string, turn long, wrapper string"
 
     def trees(batches):
@@ -318,6 +344,7 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
     def induce(batches):
         own: dict[str, list] = {}
+        turn = TaskContext.get().partitionId() << 32
         for batch in batches:
             for host, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 one = json.loads(tree)
@@ -325,30 +352,60 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
                 if own[host][PAGES] % WIDTH == 0:
                     own[host] = pruned(own[host])
             if len(own) > 20_000:  # bounded memory where hosts are many
-                yield out(own)
-                own = {}
+                yield out(own, turn)
+                own, turn = {}, turn + 1
         if own:
-            yield out(own)
+            yield out(own, turn)
 
-    def out(own: dict[str, list]):
-        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([0] * len(own), pa.int64()), pa.array([json.dumps(w) for w in own.values()], pa.string())], names=["host", "turn", "wrapper"])
+    def out(own: dict[str, list], turn: int):
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([turn] * len(own), pa.int64()), pa.array([json.dumps(w) for w in own.values()], pa.string())], names=["host", "turn", "wrapper"])
 
     def merge(key, table):
         all_, merged = sorted(table.column("wrapper").to_pylist()), None
         for raw in all_:
             one = json.loads(raw)
             merged = one if merged is None else pruned(laid(merged, one))
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "turn": pa.array([0], pa.int64()), "wrapper": pa.array([json.dumps(merged)], pa.string())})
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "turn": pa.array([min(table.column("turn").to_pylist())], pa.int64()), "wrapper": pa.array([json.dumps(merged)], pa.string())})
 
     # Copies of a page don't make it template: each different page of a host counts once, wherever its copies lie.
     once = pages.mapInArrow(trees, "host string, mark binary, tree string").groupBy("host", "mark").agg(F.first("tree").alias("tree"))
-    now = scratch.keep(scratch.keep(once.select("host", "tree"), "trees").mapInArrow(induce, schema), "wrappers")
-    while True:
-        most = now.groupBy("host").count().agg(F.max("count")).first()[0] or 0
-        if most <= 1:
-            return now.select("host", "wrapper")
-        salt = F.pmod(F.xxhash64("wrapper"), F.lit(max(1, -(-most // MERGED))))
-        now = scratch.keep(now.withColumn("turn", salt).groupBy("host", "turn").applyInArrow(merge, schema), "wrappers")
+    pages = scratch.keep(once.select("host", "tree"), "trees")
+    now = scratch.keep(pages.mapInArrow(induce, schema), "wrappers")
+    while (most := now.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        salt = F.pmod(F.xxhash64("turn"), F.lit(max(1, -(-most // MERGED))))
+        now = scratch.keep(now.withColumn("salt", salt).groupBy("host", "salt").applyInArrow(merge, schema), "wrappers")
+    now = now.select("host", "wrapper").where(F.get_json_object("wrapper", f"$[{PAGES}]").cast("long") >= MIN_PAGES)
+
+    def count(batches):
+        known: dict[str, list] = {}
+        counts: Counter = Counter()
+        for batch in batches:
+            for host, tree, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if host not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[host] = numbered(raw)
+                counts.update((host, *x) for x in texts_at(json.loads(tree), known[host]))
+            if len(counts) > 200_000:
+                yield found(counts)
+                counts = Counter()
+        if counts:
+            yield found(counts)
+
+    def found(counts: Counter):
+        columns = [*zip(*counts), tuple(counts.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["host", "node", "digest", "n"])
+
+    both = pages.join(F.broadcast(now) if total(now) <= BROADCAST_BYTES else now, "host").select("host", "tree", "wrapper")
+    texts = both.mapInArrow(count, "host string, node long, digest string, n long").groupBy("host", "node", "digest").agg(F.sum("n").alias("n"))
+    nodes = texts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "digest")).alias("top"))
+    constant = nodes.where((F.col("pages") >= MIN_PAGES) & (F.col("top.digest") != "") & (F.col("top.n") >= CONSTANT * F.col("pages")))
+    constant = constant.groupBy("host").agg(F.to_json(F.collect_list(F.struct("node", F.col("top.digest").alias("digest")))).alias("constant"))
+    return scratch.keep(now.join(constant, "host").select("host", "wrapper", "constant"), "finished")
+
+
+def total(made: DataFrame) -> int:
+    return made.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
 
 
 def extract(pages: DataFrame, page_html: str = "html", url: str = "url", scratch: Scratch | None = None) -> DataFrame:
@@ -357,8 +414,7 @@ def extract(pages: DataFrame, page_html: str = "html", url: str = "url", scratch
     names = [c for c in pages.columns if c != page_html]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{page_html}`").alias("html"))
     made = wrappers(rows.select("host", "html"), scratch)
-    size = made.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
-    both = rows.join(F.broadcast(made) if size <= BROADCAST_BYTES else made, "host", "left").select("doc", "host", "html", "wrapper")
+    both = rows.join(F.broadcast(made) if total(made) <= BROADCAST_BYTES else made, "host", "left").select("doc", "host", "html", "wrapper", "constant")
     schema = T.StructType([both.schema["doc"], T.StructField("text", T.StringType())])
     arrow = _arrow(schema)
 
@@ -366,11 +422,11 @@ def extract(pages: DataFrame, page_html: str = "html", url: str = "url", scratch
         known: dict[str, list] = {}
         for batch in batches:
             texts = []
-            for host, source, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for host, source, raw, constant in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
                 if len(known) > 10_000:
                     known.clear()
                 if raw is not None and host not in known:
-                    known[host] = json.loads(raw)
+                    known[host] = finished(raw, constant)
                 texts.append(extract_page(source, known.get(host)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field("doc").type), pa.array(texts, pa.string())], schema=arrow)
 
