@@ -83,6 +83,17 @@ def test_training_by_group(spark):
     assert len(spark.range(2).select(R.continued(F.lit("the"), last.weights, 5)).collect()[0][0]) == 8
 
 
+def test_query_trains_on_all_items(spark, monkeypatch):
+    from veilspark.plans import charlm
+
+    seen = []
+    monkeypatch.setattr(charlm.R, "train", lambda items, key, text, settings: seen.append(items))
+    charlm._trained(spark, "/root/testdata/sf0.01")
+    every = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    assert seen[0].select("item_id").exceptAll(every.select("item_id")).isEmpty() and seen[0].count() == every.count() > 8
+    assert seen[0].select("part").distinct().count() > 1
+
+
 def test_blow_up_ends_training():
     rows = R.train_text(TEXT, R.Settings(epochs=50, dim=8, rate=1e6, clip=0))
     assert len(rows) < 50 and not np.isfinite(rows[-1]["loss"])
