@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -10,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one numpy step works on; bounds a worker's memory to a few dozen times this.
-SLICE_BYTES = 1 << 20
+#: Text bytes and rows that one numpy step works on; they bound a worker's memory.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
 
 
 class Scratch:
     """Tables written below the cluster's shared ``spark.checkpoint.dir``, so that a lost executor costs no recomputation.
 
-    Only where the session names no such folder (tests, a laptop) a temporary one is set.
+    Only where a local session names no such folder (tests, a laptop) a temporary one is set; on a cluster that is an error.
     """
 
     def __init__(self, spark: SparkSession):
@@ -26,6 +27,8 @@ class Scratch:
         if not root:
             root = spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="veilspark-")
             spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/veilspark-{uuid.uuid4().hex}"
@@ -33,15 +36,18 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back: the lineage ends here."""
         self.made += 1
-        self.paths[name] = path = f"{self.root}/{name}-{self.made}"
+        path = f"{self.root}/{name}-{self.made}"
+        self.paths[path] = self.made
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more."""
+    def drop(self, since: int, *kept: str) -> None:
+        """Deletes the tables made after so many, but for the last ones of these names: nothing reads them any more."""
         jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+        stay = {max((p for p in self.paths if p.startswith(f"{self.root}/{name}-")), key=self.paths.get, default=None) for name in kept}
+        for gone in [p for p, made in self.paths.items() if made > since and p not in stay]:
+            del self.paths[gone]
+            path = jvm.org.apache.hadoop.fs.Path(gone)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -71,45 +77,62 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
-    """Row ranges of at most so many bytes; a longer row stands alone."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int = SLICE_ROWS):
+    """Row ranges of at most so many bytes and rows; a longer row stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1))
         yield lo, hi
         lo = hi
 
 
-_rng = np.random.default_rng(20_240_607)
-#: A random 64-bit value for each byte, and two odd multipliers: the strings' polynomial hashes.
-BYTE_VALUES = _rng.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-BASES = [int(x) | 5 for x in _rng.integers(2**62, 2**63, 2, dtype=np.uint64)]
-_powers: dict[tuple[int, bool], np.ndarray] = {}
+#: Masks for the first 0 to 8 bytes of a block.
+_HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def powers(n: int, which: int = 0, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, or of its inverse."""
-    have = _powers.get((which, inverse))
-    if have is None or len(have) < n:
-        base = BASES[which] if not inverse else pow(BASES[which], -1, 2**64)
-        have = np.array([1], np.uint64)
-        while len(have) < n:  # doubling
-            step = np.uint64(pow(base, len(have), 2**64))
-            have = np.concatenate([have, have * step])
-        _powers[which, inverse] = have
-    return have[:n]
+def wide(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one integer (zeros beyond the end): a view that is not aligned, of len(data) + 1."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
-def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """Sums of byte value times base**i; see span_hash."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(len(data), which), out=out[1:])
-    return out
+def span_blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of 8 bytes of non-empty spans as integers, each block's place in its span, and each span's first block."""
+    count = (end - start + 7) >> 3
+    last = np.cumsum(count)
+    turn = np.arange(last[-1]) - np.repeat(last - count, count)
+    at = np.repeat(start, count) + 8 * turn
+    return wide(data)[at] & _HEAD[np.minimum(np.repeat(end, count) - at, 8)], turn, last - count
+
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of non-empty spans data[start:end].
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of data[start:end], equal for equal strings wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix), which, True)[start])
+    Each block of 8 bytes is mixed with its place before blocks are added up. (A polynomial in a fixed base modulo 2**64 would
+    give equal values to different texts of a simple structure, as to a Thue-Morse word and its complement.)
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    block, turn, first = span_blocks(data, start, end)
+    return mix(np.add.reduceat(mix(block + turn.astype(np.uint64) * _PLACE), first) + (end - start).astype(np.uint64))
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each content (its index), and for every span the number of its content; compared byte by byte."""
+    _, where, which = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
+    if len(start):
+        block, turn, first = span_blocks(data, start, end)
+        one = where[which]
+        count = np.diff(np.append(first, len(block)))
+        same = (end - start)[one] == end - start
+        # Blocks of a longer partner may lie beyond its own; then the sizes differ already.
+        partner = np.minimum(np.repeat(first[one], count) + turn, len(block) - 1)
+        if not (same.all() and (block[partner] == block).all()):  # two contents with one hash
+            known: dict[bytes, int] = {}
+            raw = data.tobytes()
+            which = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist())])
+            where = np.unique(which, return_index=True)[1]
+    return where, which
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -139,3 +162,25 @@ def word_spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 def strings(values) -> pa.Array:
     return pa.array(values, pa.string())
+
+
+def runs(sorted_keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(key, from, to) of the runs of equal keys."""
+    if not len(sorted_keys):
+        return []
+    cut = np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
+    return list(zip(sorted_keys[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist()))
+
+
+def released(run):
+    """A mapInArrow function that gives the memory of its task back to the system when it ends: workers live on."""
+
+    def out(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return out

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, prefix_hash, slices, span_hash, utf8, word_spans
+from .common import mix, released, slices, span_hash, utf8, word_spans
 
 WINDOW, BLOCK = 13, 3
 #: Contaminated: at least one word in SHARE is hit.
@@ -46,7 +46,7 @@ class Words:
         data = LOWER[data]
         is_word = IS_WORD[data]
         self.starts, self.ends, self.first = word_spans(is_word, offsets)
-        self.hash = span_hash(prefix_hash(data), self.starts, self.ends)
+        self.hash = span_hash(data, self.starts, self.ends)
         self.data = data
 
     def text(self, i: int, n: int) -> bytes:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, mix, prefix_hash, slices, span_hash, utf8, word_spans
+from .common import Scratch, mix, slices, span_hash, utf8, word_spans
 from .components import components
 from .decontaminate import LOWER, _arrow
 
@@ -59,7 +59,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """Sorted distinct shingle hashes of each text, and n + 1 offsets."""
     data = LOWER[data]
     starts, ends, first = word_spans(IS_WORD[data], offsets)
-    words = span_hash(prefix_hash(data), starts, ends)
+    words = span_hash(data, starts, ends)
     n_words = np.diff(first)
     sets = [np.zeros(0, np.uint64)] * len(n_words)
     rolled = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, mix, prefix_hash, slices, span_hash, utf8
+from .common import Scratch, mix, released, runs, slices, utf8, wide
 from .decontaminate import _arrow
 
 WIDTH = 200
@@ -46,6 +46,45 @@ def covers(cover=COVER, period=PERIOD) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
+#: Two odd multipliers: the bases of the strings' polynomial hashes.
+BASES = [int(x) | 5 for x in np.random.default_rng(20_240_607).integers(2**62, 2**63, 2, dtype=np.uint64)]
+GRAM = 8
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def powers(n: int, which: int = 0, inverse: bool = False) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64, or of its inverse."""
+    have = _powers.get((which, inverse))
+    if have is None or len(have) < n:
+        base = BASES[which] if not inverse else pow(BASES[which], -1, 2**64)
+        have = np.array([1], np.uint64)
+        while len(have) < n:  # doubling
+            step = np.uint64(pow(base, len(have), 2**64))
+            have = np.concatenate([have, have * step])
+        _powers[which, inverse] = have
+    return have[:n]
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """The GRAM bytes from each place on, mixed: values without the structure of the text, for the polynomials."""
+    out = wide(data)[:-1] * np.uint64(0x9FB21C651E98DF25)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
+def prefix_hash(mixed: np.ndarray, which: int = 0) -> np.ndarray:
+    """Sums of grams times base**i; see string_hash."""
+    out = np.zeros(len(mixed) + 1, np.uint64)
+    np.cumsum(mixed * powers(len(mixed), which), out=out[1:])
+    return out
+
+
+def string_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of data[start:end] of at least GRAM bytes, by the grams inside: equal for equal strings wherever they stand."""
+    return mix((prefix[end - GRAM + 1] - prefix[start]) * powers(len(prefix), which, True)[start])
+
+
 def bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
@@ -74,15 +113,15 @@ class Chunk:
         self.doc = np.repeat(some, counts)
         local = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts, counts)
         self.at = offsets[self.doc] + in_cover[local] if len(local) else np.zeros(0, np.int64)
-        self.prefix = prefix_hash(data)
-        h = span_hash(self.prefix, self.at, self.at + SAMPLE)
+        self.mixed = grams(data)
+        self.prefix = prefix_hash(self.mixed)
+        h = string_hash(self.prefix, self.at, self.at + SAMPLE)
         self.key = ((h & np.uint64(0xFFFFFF)) % np.uint64(buckets)) << np.uint64(40) | h >> np.uint64(24)
         self.distinct, self.which, self.count = np.unique(self.key, return_inverse=True, return_counts=True)
 
     def parts(self, sorted_keys: np.ndarray) -> list[tuple[int, int, int]]:
         """(bucket, from, to) of the buckets that sorted keys have."""
-        cuts = np.searchsorted(sorted_keys >> np.uint64(40), np.arange(self.buckets + 1, dtype=np.uint64))
-        return [(b, a, z) for b, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if z > a]
+        return runs(sorted_keys >> np.uint64(40))
 
     def rank_rows(self):
         low = self.distinct.view(np.uint8).reshape(-1, 8)[:, 1:5]  # a few false partners cost less than the fifth byte
@@ -95,8 +134,9 @@ class Chunk:
         at, key, doc = self.at[keep], self.key[keep], self.doc[keep]
         left = np.maximum(self.offsets[doc], at - (PERIOD - 1))
         right = np.minimum(self.offsets[doc + 1], at + WIDTH)
-        self.second = prefix_hash(self.data, 1)
-        reach = mix(span_hash(self.second, left, right, 1) + ((at - left) * 1024 + (right - at)).astype(np.uint64))
+        self.second = prefix_hash(self.mixed, 1)
+        del self.mixed
+        reach = mix(string_hash(self.second, left, right, 1) + ((at - left) * 1024 + (right - at)).astype(np.uint64))
         by = np.lexsort((reach, key))
         at, key, doc, reach = at[by], key[by], doc[by], reach[by]
         new = np.ones(len(at), bool)
@@ -124,7 +164,7 @@ class Chunk:
         """The suffixes through the first sample of each wanted group: keys with their bucket on top, and a second key."""
         one = self.first[wanted]
         self.s_at = np.flatnonzero(self.starts(self.r_at[one], self.r_doc[one]))
-        f0, f1 = span_hash(self.prefix, self.s_at, self.s_at + WIDTH), span_hash(self.second, self.s_at, self.s_at + WIDTH, 1)
+        f0, f1 = string_hash(self.prefix, self.s_at, self.s_at + WIDTH), string_hash(self.second, self.s_at, self.s_at + WIDTH, 1)
         bucket = f0 % np.uint64(self.buckets)
         by = np.lexsort((f1, f0, bucket))
         self.s_at, f0, f1, bucket = self.s_at[by], f0[by], f1[by], bucket[by]
@@ -326,5 +366,3 @@ def strip(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -
     step2 = texts.cogroup(step1.groupBy("chunk")).applyInArrow(send_reaches, SENT).groupBy("bucket").applyInArrow(_bucket_function, SENT)
     step3 = texts.cogroup(step2.groupBy("chunk")).applyInArrow(send_suffixes, SENT).groupBy("bucket").applyInArrow(_bucket_function, SENT)
     return texts.cogroup(step3.groupBy("chunk")).applyInArrow(finish, out_schema)
-
-

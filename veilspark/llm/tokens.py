@@ -13,7 +13,7 @@ import unicodedata
 
 import numpy as np
 
-from .common import prefix_hash, span_hash
+from .common import distinct_spans
 
 LETTER, NUMBER, SPACE, OTHER, ODD = 1, 2, 3, 0, 4
 CACHE_ENTRIES = 800_000
@@ -100,8 +100,7 @@ class Encoder:
         starts = pretoken_starts(points, first) if len(points) else np.zeros(0, np.int64)
         lo = at_byte[starts]
         hi = np.append(lo[1:], len(data))
-        prefix = prefix_hash(data)
-        _, where, which = np.unique(span_hash(prefix, lo, hi), return_index=True, return_inverse=True)
+        where, which = distinct_spans(data, lo, hi)
         tokens = [raw[a:b] for a, b in zip(lo[where].tolist(), hi[where].tolist())]
         new = [t for t in tokens if t not in self.cache]
         if len(self.cache) + len(new) > CACHE_ENTRIES:
