@@ -35,9 +35,10 @@ PATTERNS = {
 }
 #: What a text must contain for its pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-CANDIDATE = r"(?:\G|(?<![^\s]))[^\s0-9@]{0,64}+[0-9@][^\s]*+"
+CANDIDATE = r"(?:\G|(?<![^\s]))[^\s0-9@]*+[0-9@][^\s]*+"
 ROUNDS, SUPPORT, CONFIDENCE, KNOWN = 3, 5, 0.9, 0.9
-TAIL = 64
+#: The last two words of a text that is read backwards.
+LAST_WORDS = r"^\s*+\S++(?:\s++\S++)?+"
 
 
 def luhn(digits: Column) -> Column:
@@ -76,7 +77,7 @@ def marked(docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     by_kind = base.select("doc", "uid", F.explode_outer(some).alias("k")).select("doc", "uid", "k.kind", F.posexplode_outer(F.split("k.m", "\x01")).alias("i", "piece"))
     found = F.when(F.col("i") > 0, F.substring_index("piece", "\x02", 1))
     rest = F.when(F.col("i") > 0, F.substring_index("piece", "\x02", -1)).otherwise(F.col("piece"))
-    rows = by_kind.select("doc", "uid", "kind", "i", F.length(rest).cast("long").alias("skip"), found.alias("found"), F.substring(rest, -TAIL, TAIL).alias("tail"))
+    rows = by_kind.select("doc", "uid", "kind", "i", F.length(rest).cast("long").alias("skip"), found.alias("found"), F.reverse(F.regexp_extract(F.reverse(rest), LAST_WORDS, 0)).alias("tail"))
     return scratch.keep(rows, "marked")
 
 
@@ -171,12 +172,17 @@ def redacted(text: Column, column: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span of every text replaced. Rows meet their spans by a digest of the whole text, so equal texts are searched once."""
+    """docs with every span of every text replaced.
+
+    Texts with a digit or @ meet their spans by a digest of the whole text; the others are not moved. A null text stays null.
+    """
     digest = F.sha2(F.col(f"`{text}`").cast("binary"), 256)
+    may = F.coalesce(F.col(f"`{text}`").rlike("[0-9@]"), F.lit(False))  # else there is nothing to find
+    docs, rest = docs.where(may), docs.where(~may)
     found = find(docs.select(digest.alias("digest"), F.col(f"`{text}`").alias(text)), text)
     found = found.where(F.size("spans") > 0).select(F.col("doc.digest").alias("digest"), "spans").dropDuplicates(["digest"])
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], digest.alias("digest"))
     done = plain.join(found, "digest", "left")
     fixed = F.when(F.col("spans").isNull(), F.col(names[text])).otherwise(redacted(F.col(names[text]), F.col("spans")))
-    return done.select(*[(fixed if c == text else F.col(n)).alias(c) for c, n in names.items()])
+    return done.select(*[(fixed if c == text else F.col(n)).alias(c) for c, n in names.items()]).unionAll(rest)
