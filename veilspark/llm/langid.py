@@ -7,8 +7,9 @@ so that every context's distribution sums to 1. Below the empty context all 256
 under a language is its exact code length in bits; the shortest wins, and ``score`` is that language's posterior under
 equal priors.
 
-As the statistics are frozen, the code length of each (context, byte) is a table entry, and a text is scored by table
-lookups: contexts of all languages share one tree, and its table has a column for each language.
+As the statistics are frozen, the code length of a byte that some language's context has seen is a table entry with a column
+for each language, and the escape from a context is another; both tables are sorted and hold only what occurs, so they are
+never larger than the sample. A text is scored by lookups, longest contexts first; what a context hasn't seen goes on below it.
 
 The model learns from a bounded sample: of each language PER_LANGUAGE different texts of at most SAMPLE_CHARS characters (all,
 if it has fewer), chosen by their hash. A language that has only longer texts is learned from those, whole, up to
@@ -27,113 +28,113 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, thinned, utf8
+from .common import released, slices, thinned, utf8
 
 ORDER = 3
+#: Bytes of text that are scored at once.
+STEP = 1 << 18
 PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
 LETTER = regex.compile(r"\p{L}")
 
 
+def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where keys stand, or -1."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
+
+
+class Order:
+    """Contexts of one length. A gram is a context's code times the number of symbols, plus a symbol."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, size: int, shorter: "Order | None", order: int):
+        """counts: a column for each language."""
+        self.grams = grams
+        self.contexts, of = np.unique(grams // size, return_inverse=True)
+        if shorter is None:
+            below = np.full(counts.shape, 1 / 256)
+        else:  # the context without its first byte, with the same symbol: it occurs wherever the longer one does
+            below = shorter.p[np.searchsorted(shorter.grams, grams % size**order)]
+        start = np.flatnonzero(np.diff(of, prepend=-1)) if len(of) else np.zeros(0, np.int64)
+
+        def per_context(values: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(values, start, axis=0) if len(start) else np.zeros((0, counts.shape[1]))
+
+        seen = counts > 0
+        total, distinct = per_context(counts.astype(np.float64)), per_context(seen.astype(np.float64))
+        left = 1 - per_context(below * seen)  # what the shorter context gives to the symbols that this one hasn't seen
+        left[left < 1e-12] = 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            factor = np.where(total > 0, np.where(left > 0, distinct / (total + distinct) / left, 0), 1)
+            known = counts / (total + np.where(left > 0, distinct, 0))[of]
+            self.p = np.where(total[of] > 0, np.where(seen, known, factor[of] * below), below)
+            self.cost, self.escape = (-np.log2(np.maximum(x, 1e-300)).astype(np.float32) for x in (self.p, factor))
+
+
 class Model:
     """Frozen code lengths. symbols: byte -> symbol (the last one stands for every byte never seen)."""
 
     def __init__(self, samples: dict[str, list[bytes]]):
         self.languages = sorted(samples)
+        joined = {lang: [np.frombuffer(t, np.uint8) for t in texts if t] for lang, texts in samples.items()}
         seen = np.zeros(256, bool)
-        joined = {}
-        for lang, texts in samples.items():
-            joined[lang] = [np.frombuffer(t, np.uint8) for t in texts if t]
-            for t in joined[lang]:
-                seen[t] = True
-        n_seen = int(seen.sum())
-        self.size = n_seen + 1
-        self.unseen = 256 - n_seen
-        self.symbols = np.full(256, n_seen, np.int64)
-        self.symbols[seen] = np.arange(n_seen)
-        if self.languages:
-            self._contexts(joined)
-
-    def _contexts(self, joined: dict[str, list[np.ndarray]]) -> None:
-        s = self.size
-        grams: list[list[tuple[np.ndarray, np.ndarray]]] = []  # by order and language: codes of context + symbol, counts
+        for t in (t for texts in joined.values() for t in texts):
+            seen[t] = True
+        self.size = int(seen.sum()) + 1
+        self.symbols = np.full(256, self.size - 1, np.int64)
+        self.symbols[seen] = np.arange(self.size - 1)
+        self.orders: list[Order] = []
         for order in range(ORDER + 1):
-            row = []
-            for lang in self.languages:
-                codes = [np.zeros(0, np.int64)]
-                for t in joined[lang]:
-                    x = self.symbols[t]
-                    if len(x) > order:
-                        code = np.zeros(len(x) - order, np.int64)
-                        for k in range(order + 1):
-                            code = code * s + x[k : len(x) - order + k]
-                        codes.append(code)
-                row.append(np.unique(np.concatenate(codes), return_counts=True))
-            grams.append(row)
-        # One tree for all languages: node 0 is the empty context; a context's code reads its bytes in text order.
-        nodes = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([g // s for g, _ in grams[o]])) for o in range(1, ORDER + 1)]
-        first = np.cumsum([0, *[len(x) for x in nodes]])
-        parent = np.zeros(first[-1], np.int64)
-        deepest = np.zeros(s**ORDER, np.int32)  # of each full context: its deepest node
-        code = np.arange(s**ORDER)
-        for o in range(1, ORDER + 1):
-            shorter = nodes[o] % s ** (o - 1)
-            parent[first[o] : first[o + 1]] = first[o - 1] + np.searchsorted(nodes[o - 1], shorter) if o > 1 else 0
-            tail = code % s**o
-            at = np.minimum(np.searchsorted(nodes[o], tail), max(0, len(nodes[o]) - 1))
-            if len(nodes[o]):
-                known = nodes[o][at] == tail
-                deepest[known] = first[o] + at[known]
-        cost = np.empty((int(first[-1]), s, len(self.languages)), np.float32)
-        for j in range(len(self.languages)):
-            p = np.empty((int(first[-1]), s))
-            floor = np.full(s, 1 / 256)
-            floor[-1] = self.unseen / 256  # all the bytes never seen together
-            for o in range(ORDER + 1):
-                counts = np.zeros((len(nodes[o]), s))
-                g, n = grams[o][j]
-                counts[np.searchsorted(nodes[o], g // s), g % s] = n
-                below = p[parent[first[o] : first[o + 1]]] if o else floor[None, :]
-                total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-                left = (below * (counts == 0)).sum(1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    escape = np.where(left > 0, distinct / (total + distinct), 0)
-                    direct = counts / np.where(left > 0, total + distinct, total)
-                    lower = np.where(counts == 0, escape * below / left, 0)
-                p[first[o] : first[o + 1]] = np.where(total > 0, np.where(counts > 0, direct, lower), below)
-            bits = -np.log2(p)
-            bits[:, -1] += np.log2(max(1, self.unseen))
-            cost[:, :, j] = bits
-        self.deepest, self.cost = deepest, cost.reshape(-1, len(self.languages))
+            found = [self._grams(joined[lang], order) for lang in self.languages]
+            if not found:
+                break
+            grams = np.unique(np.concatenate([g for g, _ in found]))
+            counts = np.zeros((len(grams), len(found)), np.int64)
+            for j, (g, n) in enumerate(found):
+                counts[np.searchsorted(grams, g), j] = n
+            self.orders.append(Order(grams, counts, self.size, self.orders[-1] if order else None, order))
+        for o in self.orders:
+            del o.p
+
+    def _grams(self, texts: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+        codes = [np.zeros(0, np.int64)]
+        for t in texts:
+            x = self.symbols[t]
+            if len(x) > order:
+                codes.append(sum(x[k : len(x) - order + k] * self.size ** (order - k) for k in range(order + 1)))
+        return np.unique(np.concatenate(codes), return_counts=True)
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each document under each language. A document's first bytes stand in contexts as short as what precedes them."""
         n, langs = len(offsets) - 1, len(self.languages)
         if not len(data) or not langs:
             return np.zeros((n, langs))
-        s = self.size
         x = self.symbols[data]
-        code = np.zeros(len(x), np.int64)
-        for k in range(1, ORDER + 1):
-            code[k:] += x[:-k] * s ** (k - 1)
-        node = self.deepest[code]
-        for k in range(min(ORDER, int(np.diff(offsets).max()))):  # k bytes precede
-            at = offsets[:-1][np.diff(offsets) > k] + k
-            node[at] = self._short(x, at, k)
-        bits = self.cost[node * s + x]
+        before = np.arange(len(x)) - np.repeat(offsets[:-1], np.diff(offsets))
+        bits = np.zeros((len(x), langs), np.float32)
+        waiting = np.arange(len(x))
+        for o in range(ORDER, -1, -1):
+            table = self.orders[o]
+            long = before[waiting] >= o
+            at = waiting[long]
+            context = np.zeros(len(at), np.int64)
+            for k in range(1, o + 1):
+                context += x[at - k] * self.size ** (k - 1)
+            found = _places(table.grams, context * self.size + x[at])
+            hit = found >= 0
+            bits[at[hit]] += table.cost[found[hit]]
+            missed = at[~hit]
+            inside = _places(table.contexts, context[~hit])
+            known = inside >= 0
+            bits[missed[known]] += table.escape[inside[known]]
+            waiting = np.sort(np.concatenate([waiting[~long], missed]))
+        bits[waiting] += 8  # bytes that no language has
         full = np.flatnonzero(np.diff(offsets))
         out = np.zeros((n, langs))
         out[full] = np.add.reduceat(bits, offsets[full], axis=0, dtype=np.float64)
         return out
 
-    def _short(self, x: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-        """Nodes of contexts of k bytes: that of a full context whose further bytes are the symbol that no context has."""
-        s, code = self.size, np.zeros(len(at), np.int64)
-        for j in range(1, k + 1):
-            code += x[at - j] * s ** (j - 1)
-        for j in range(k, ORDER):
-            code += (s - 1) * s**j
-        return self.deepest[code]
-
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language and its posterior."""
         bits = self.code_lengths(data, offsets)
@@ -193,14 +194,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             data, offsets = utf8(column)
             pred, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             if len(names):
-                for lo, hi in slices(offsets):
+                for lo, hi in slices(offsets, STEP):
                     best, p = model.predict(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     pred[lo:hi], score[lo:hi] = names[best], p
                 none = [t is None or not LETTER.search(t) for t in column.to_pylist()]
                 pred[none], score[none] = "und", 0
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field("doc").type), pa.array(pred, pa.string()), pa.array(score)], schema=arrow)
 
-    return state.mapInArrow(run, schema)
+    return state.mapInArrow(released(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
