@@ -4,18 +4,21 @@
    are pre-aggregated before anything else is shuffled, and need no pairs. A node's id is 64 bits of its set's digest; the
    other bits are compared, and should two sets ever share an id, the ids are drawn anew with another salt.
 2. MinHash samples of a set (PERMUTATIONS) make BANDS bands of ROWS samples; nodes that share a band are candidates. At the
-   threshold a pair shares none with probability (1 - 0.75**ROWS)**BANDS, 8 in a million.
+   threshold a pair shares none with probability (1 - 0.75**ROWS)**BANDS, 7 in a million.
 3. Shingles that no other text has bound what two sets can share, and so do their sizes: pairs (and nodes) that these exact
-   bounds rule out are never tested. The samples are folded into an odd sketch:
-   each flips one of SKETCH bits. The bits in which two sketches differ estimate a high Jaccard similarity well;
-   candidates below FLOOR (more than four standard deviations under the threshold) are dropped before sets are fetched.
+   bounds rule out are never tested. The samples are folded into an odd sketch: each flips one of SKETCH bits. The bits in
+   which two sketches differ estimate a high Jaccard similarity well; candidates below FLOOR (more than four standard
+   deviations under the threshold) are dropped before sets are fetched.
 4. The others are confirmed on the full sets. Components of the confirmed links are the groups.
 
-No band is gathered and no band's pairs are all made: the first round ties a band's members to its least node, by an
-aggregation and a join that Spark can split where a band is hot. Members that came into one component need no further
-test. In SAMPLED further rounds a band's largest component meets the other members by two of its own; later rounds take
-PIVOTS pivots a band, from its smaller components first, until no band holds two components with an untested pair: no
-link is lost to skew, and no cap is set.
+No band is gathered. Two rounds by aggregations and joins bring the bulk of a band together, with as many tests as it has
+members: first each member meets the band's least node; then members outside the band's largest component meet two nodes of
+that. Members that came into one component need no further test. What is left are the members outside the largest component
+("rest") of bands that still hold several. The rest meets all others in blocks of BLOCK members: a block of the largest
+component with a block of the rest, or two blocks of the rest, never two of the largest. A task holds two blocks with their
+sketches, and lists the pairs that the sketches can't exclude, each in its first shared band only. The full sets of the nodes
+listed go to their blocks, which send on the links. So no link is lost to skew, no cap is set, and no pair is ever a row:
+the rows that travel are the members, times the blocks that they meet.
 
 Full sets are made only for nodes in a candidate pair, from the texts again: their keys go to all tasks while there are at
 most BROADCAST_KEYS, else they are joined.
@@ -36,17 +39,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, mix, slices, span_hash, utf8, word_spans
+from .common import Scratch, mix, released, runs, slices, span_hash, utf8, word_spans
 from .components import components
 from .decontaminate import LOWER, _arrow
 
 SHINGLE, THRESHOLD = 5, 75
-BANDS, ROWS = 60, 6
+BANDS, ROWS = 44, 5
 #: The bands take the first samples; the sketches take all.
-PERMUTATIONS = 2 * BANDS * ROWS
+PERMUTATIONS = 720
 SKETCH, FLOOR = 2048, 0.66
-SAMPLED, PIVOTS, BROADCAST_KEYS = 1, 512, 1_000_000
+BLOCK, BLOCK_BYTES, BROADCAST_KEYS = 512, 32 << 20, 1_000_000
 WORDS = SKETCH // 64
+#: Rows that one step works on where it holds samples or sketches of each.
+STEP = 1024
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -133,24 +138,22 @@ def shared_counts(docs: DataFrame, text: str, salt: int, shingles: int) -> DataF
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            for lo, top in slices(offsets, CHUNK_BYTES):
-                for a in range(lo, top, CHUNK_ROWS):
-                    z = min(top, a + CHUNK_ROWS)
-                    hashes, at = shingle_sets(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
-                    ids = _node_ids(hashes, at, salt)[:, 0]
-                    nodes, one = np.unique(ids, return_index=True)  # copies within a chunk count once
-                    full = np.flatnonzero(np.diff(at))[one]
-                    sizes = np.diff(at)[full]
-                    index = np.repeat(np.arange(len(full)), sizes)
-                    keys = hashes[np.repeat(at[full] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(index))]
-                    bucket = ((keys & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-                    by = np.argsort(bucket, kind="stable")
-                    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                    index, high = index[by].astype("<u2"), np.ascontiguousarray(keys[by]).view(np.uint8).reshape(-1, 8)[:, 3:]
-                    rows = [(number, KEYS, b, index[c:d].tobytes() + high[c:d].tobytes()) for b, (c, d) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if d > c]
-                    rows.append((number, NODES, number % buckets, nodes.astype("<i8").tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "kind", "bucket", "payload"])
-                    number += 1
+            for a, z in slices(offsets, CHUNK_BYTES, CHUNK_ROWS):
+                hashes, at = shingle_sets(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+                ids = _node_ids(hashes, at, salt)[:, 0]
+                nodes, one = np.unique(ids, return_index=True)  # copies within a chunk count once
+                full = np.flatnonzero(np.diff(at))[one]
+                sizes = np.diff(at)[full]
+                index = np.repeat(np.arange(len(full)), sizes)
+                keys = hashes[np.repeat(at[full] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(index))]
+                bucket = ((keys & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                parts = runs(bucket[by])
+                index, high = index[by].astype("<u2"), np.ascontiguousarray(keys[by]).view(np.uint8).reshape(-1, 8)[:, 3:]
+                rows = [(number, KEYS, b, index[c:d].tobytes() + high[c:d].tobytes()) for b, c, d in parts]
+                rows.append((number, NODES, number % buckets, nodes.astype("<i8").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "kind", "bucket", "payload"])
+                number += 1
 
     def answer(key, table):
         kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
@@ -183,7 +186,7 @@ def shared_counts(docs: DataFrame, text: str, salt: int, shingles: int) -> DataF
                 total[: len(counts)] += counts
         return pa.table({"node": pa.array(nodes, pa.int64()), "s": pa.array(total, pa.int64())})
 
-    sent = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(send, SENT)
+    sent = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(released(send), SENT)
     answered = sent.groupBy("bucket").applyInArrow(answer, SENT)
     return answered.groupBy("chunk").applyInArrow(add, "node long, s long").groupBy("node").agg(F.max("s").alias("s"))
 
@@ -199,7 +202,7 @@ def signatures(docs: DataFrame, key: str, text: str, salt: int = 0) -> DataFrame
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(3))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, rows=STEP):
                 hashes, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 n = np.diff(at)
                 full = np.flatnonzero(n)
@@ -214,7 +217,7 @@ def signatures(docs: DataFrame, key: str, text: str, salt: int = 0) -> DataFrame
                 columns = [*(c.slice(lo, hi - lo) for c in batch.columns[:3]), pa.array(n), *(v.take(nulls) for v in values)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return state.mapInArrow(run, schema)
+    return state.mapInArrow(released(run), schema)
 
 
 def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -233,7 +236,7 @@ def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 sets = pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], names=["node", "set"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,12 +250,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
+                keep.append(similar(a.as_buffer(), b.as_buffer()))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(released(run), "u long, v long")
 
 
 def nearest(links: DataFrame) -> DataFrame:
@@ -272,10 +273,153 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return kept.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "comp").alias("comp")).distinct()
 
 
+def in_blocks(state: DataFrame) -> DataFrame:
+    """The rows (band, node, comp, ...) of bands with several components, for each pair of blocks (x, y) that a row is in: see rest_pairs."""
+    sizes = state.groupBy("band", "comp").agg(F.count("*").alias("c"), F.sum(8 * F.col("n").cast("long")).alias("b"))
+    bands = sizes.groupBy("band").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("b").alias("b"), F.max(F.struct("c", "comp", "b")).alias("top")).where("comps > 1")
+    blocks = lambda c, b: F.greatest(F.ceil(c / BLOCK), F.ceil(b / BLOCK_BYTES)).cast("int")
+    few = (F.col("c") <= BLOCK) & (F.col("b") <= BLOCK_BYTES)
+    nl, nr = blocks(F.col("top.c"), F.col("top.b")), blocks(F.col("c") - F.col("top.c"), F.col("b") - F.col("top.b"))
+    bands = bands.select("band", F.col("top.comp").alias("largest"), F.when(few, 1).otherwise(nl).alias("nl"), F.when(few, 1).otherwise(nr).alias("nr"))
+    rows = state.join(bands, "band").withColumn("large", F.col("comp") == F.col("largest"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("nl")).otherwise(F.col("nr"))).cast("int")
+    rows = rows.withColumn("own", own)
+    pair = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.col("own")
+    large = F.transform(to("nr"), lambda y: pair(own, y))
+    rest = F.concat(F.transform(to("nl"), lambda x: pair(x, own)), F.transform(F.filter(to("nr"), lambda y: y != own), lambda y: pair(-1 - F.greatest(y, own), F.least(y, own))))
+    return rows.withColumn("at", F.explode(F.when(F.col("large"), large).otherwise(rest))).select(*state.columns, "large", "own", "at.x", "at.y")
+
+
+def rest_pairs(group, x, large, own, comp, n, s, band, bands, sketch) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within groups (of equal band, x, y) that bounds and sketches can't exclude, each in the pair's first shared band only.
+
+    x >= 0: block x of the largest component meets block y of the rest; there, x = 0 stands for the rest's own pairs in block y.
+    x < 0: blocks -1 - x and y of the rest meet.
+    """
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i = np.arange(len(n))
+    for d in range(1, len(n)):
+        i = i[: np.searchsorted(i, len(n) - d)]
+        i = i[group[i] == group[i + d]]
+        if not len(i):
+            break
+        j = i + d
+        meet = np.where(x[i] < 0, own[i] != own[j], large[i] | large[j] | (x[i] == 0))
+        most = np.minimum(s[i], s[j])
+        ok = meet & (comp[i] != comp[j]) & (100 * most >= THRESHOLD * (n[i] + n[j] - most))
+        a, b = i[ok], j[ok]
+        near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) <= most_bits()
+        a, b = a[near], b[near]
+        first = bands[a, (bands[a] == bands[b]).argmax(1)] == band[a]
+        left.append(a[first])
+        right.append(b[first])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def by_group(batches):
+    """Tables that end where a group (band, x, y) ends, from batches in this order."""
+    wait = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if wait is None else pa.concat_tables([wait, table])
+        keys = [table.column(c).to_numpy() for c in ("band", "x", "y")]
+        last = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+        cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        wait = table.slice(cut).combine_chunks()
+    if wait is not None and wait.num_rows:
+        yield wait
+
+
+CANDIDATES = "band long, x int, y int, node long, pairs binary"
+
+
+def candidates(state: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each group (band, x, y) with pairs of different components that no bound or sketch excludes: a row for each of their nodes, and one with all those pairs."""
+    sketch = [f"s{i}" for i in range(WORDS)]
+    rows = in_blocks(state).join(nodes.select("node", "bands", *sketch), "node")
+    rows = rows.select("band", "x", "y", "large", "own", "node", "comp", "n", "s", "bands", *sketch)
+    rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+
+    def run(batches):
+        for table in by_group(batches):
+            get = lambda name: table.column(name).to_numpy()
+            band, x, y, node = (get(c) for c in ("band", "x", "y", "node"))
+            new = np.zeros(len(node), bool)
+            for k in (band, x, y):
+                new[1:] |= k[1:] != k[:-1]
+            group = np.cumsum(new)
+            listed = table.column("bands").chunk(0).flatten().to_numpy().reshape(-1, BANDS)
+            bits = np.stack([get(c).view(np.uint64) for c in sketch], 1)
+            a, b = rest_pairs(group, x, get("large"), get("own"), get("comp"), get("n"), get("s"), band, listed, bits)
+            by = np.argsort(group[a], kind="stable")
+            a, b = a[by], b[by]
+            out = []
+            for _, lo, hi in runs(group[a]):
+                pairs = np.stack([node[a[lo:hi]], node[b[lo:hi]]], 1)
+                at = (int(band[a[lo]]), int(x[a[lo]]), int(y[a[lo]]))
+                out += [(*at, i, None) for i in np.unique(pairs).tolist()]
+                out.append((*at, None, pairs.astype("<i8").tobytes()))
+            if out:
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["band", "x", "y", "node", "pairs"])
+
+    return rows.mapInArrow(released(run), CANDIDATES)
+
+
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether two sets (of sorted 64-bit hashes) reach the threshold."""
+    union = np.frombuffer(b"".join((a, b)), np.uint64).copy()
+    union.sort()
+    both = np.count_nonzero(union[1:] == union[:-1])
+    return 100 * both >= THRESHOLD * (len(union) - both)
+
+
+def confirmed_in_groups(listed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (u, v) that tie together what the candidates' pairs tie: a pair that its group's links already join needs no test."""
+    nothing = F.lit(None).cast("binary")
+    rows = listed.where("node is not null").join(sets, "node").select("band", "x", "y", "node", "set", nothing.alias("pairs"))
+    rows = rows.unionAll(listed.where("node is null").select("band", "x", "y", "node", nothing.alias("set"), "pairs"))
+    rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", F.col("node").asc_nulls_last())
+
+    def run(batches):
+        group, own, root = None, {}, {}
+
+        def find(i):
+            while root.get(i, i) != i:
+                i = root[i]
+            return i
+
+        for batch in batches:
+            out = []
+            for band, x, y, node, found, pairs in zip(*batch.columns):
+                at = (band.as_py(), x.as_py(), y.as_py())
+                if at != group:
+                    group, own, root = at, {}, {}
+                if pairs.as_py() is None:
+                    own[node.as_py()] = found.as_py()
+                    continue
+                for u, v in np.frombuffer(pairs.as_py(), "<i8").reshape(-1, 2).tolist():
+                    a, b = find(u), find(v)
+                    if a != b and similar(own[u], own[v]):
+                        root[max(a, b)] = min(a, b)
+                        out.append((min(u, v), max(u, v)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+
+    return rows.mapInArrow(released(run), "u long, v long")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """(key, t1, t2, n, node, comp, group) of every row: group is the least key of the row's component comp (null for the empty set)."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    """(key, t1, t2, n, node, comp, group) of every row: group is the least key of the row's component comp (null for the empty set).
+
+    Of the tables that it writes to scratch only the result stays.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    before = scratch.made
     sketch = [f"s{i}" for i in range(WORDS)]
     salt = 0
     while True:
@@ -291,55 +435,61 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Sc
     # A node with too many shingles of its own can have no link, and isn't banded.
     members = nodes.select("node", "n", "bands").join(bounds, "node").where(100 * F.col("s") >= THRESHOLD * F.col("n"))
     members = members.select("node", *[F.col(c).cast("int") for c in size], F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct("node", *size)).alias("p")).where("c > 1")
-    # Round 1: every member of a shared band against the band's least node.
-    active = scratch.keep(members.join(shared.select("band", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps")), "band").where("node <> p"), "members")
-    linkable = can_link(F.col("n"), F.col("s"), F.col("pn"), F.col("ps"))
-    pairs = active.where(linkable).select(F.col("p").alias("u"), F.col("node").alias("v")).distinct()
-    active = active.select("band", "node", *size)
+    hubs = members.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct("node", *size)).alias("p")).where("c > 1")
+    # The hub of a band meets all its members here, and needs no further place in it.
+    active = scratch.keep(members.join(hubs.select("band", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps")), "band").where("node <> p"), "members")
     small = nodes.select("node", *sketch)
     links = sets = labels = None
-    sampled = 0
-    while True:
-        near = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in sketch) <= most_bits()
-        pairs = pairs.join(small.alias("b"), F.col("v") == F.col("b.node")).join(small.alias("a"), F.col("u") == F.col("a.node")).where(near).select("u", "v")
+
+    def with_sets(asked: DataFrame) -> None:
+        """Makes the sets of the nodes asked for, where there are none yet."""
+        nonlocal sets
+        if sets is not None:
+            asked = asked.join(sets, "node", "left_anti")
+        made = scratch.keep(full_sets(docs, text, scratch.keep(asked.join(nodes.select("node", "t1", "t2"), "node"), "asked")), "sets")
+        sets = made if sets is None else sets.unionAll(made)
+
+    def linked(found: DataFrame) -> None:
+        nonlocal links, labels
+        found = scratch.keep(found, "links")
+        links = found if links is None else links.unionAll(found)
+        labels = scratch.keep(nearest(found) if labels is None else merged(labels, found), "labels")
+
+    def tested(pairs: DataFrame) -> None:
         pairs = scratch.keep(pairs, "pairs")
         if not pairs.isEmpty():
-            asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-            if sets is not None:
-                asked = asked.join(sets, "node", "left_anti")
-            made = scratch.keep(full_sets(docs, text, scratch.keep(asked.join(nodes.select("node", "t1", "t2"), "node"), "asked")), "sets")
-            sets = made if sets is None else sets.unionAll(made)
-            found = scratch.keep(confirmed(pairs, sets), "links")
-            links = found if links is None else links.unionAll(found)
-            labels = scratch.keep(nearest(found) if labels is None else merged(labels, found), "labels")
-        comp = F.coalesce(F.col("comp"), F.col("node")).alias("comp")
-        state = (active.join(labels, "node", "left") if labels is not None else active.withColumn("comp", F.lit(None).cast("long"))).select("band", "node", *size, comp)
-        several = state.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        state = scratch.keep(state.join(several, "band"), "state")
-        if state.isEmpty():
-            break
-        sizes = state.groupBy("band", "comp").agg(F.count("*").alias("c"))
-        if sampled < SAMPLED:
-            # Members outside a band's largest component meet two of its members, which differ from band to band: a group of
-            # near copies of which some missed the least node comes together here, by as many tests as there are members.
-            sampled += 1
-            largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("pc"))
-            spread = F.struct(F.xxhash64("node", "band").alias("h"), "node", *size)
-            both = state.join(largest, "band").where("comp = pc").groupBy("band", "pc").agg(F.array(F.min(spread), F.max(spread)).alias("r"))
-            tests = state.join(both, "band").where("comp <> pc").select("node", *size, F.explode("r").alias("r")).where(can_link(F.col("n"), F.col("s"), F.col("r.n"), F.col("r.s")))
-            pairs = tests.select(F.least("node", "r.node").alias("u"), F.greatest("node", "r.node").alias("v")).distinct()
-            active = state.select("band", "node", *size)
-            continue
-        turn = Window.partitionBy("band").orderBy("c", "comp", "node")
-        pivots = state.join(sizes, ["band", "comp"]).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PIVOTS)
-        pivots = scratch.keep(pivots.select("band", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("comp").alias("pc")), "pivots")
-        # Pivots meet each other once: the greater node's row makes the pair.
-        is_pivot = state.join(pivots.select("band", F.col("p").alias("node"), F.lit(True).alias("also")), ["band", "node"], "left")
-        apart = (F.col("comp") != F.col("pc")) & linkable & (F.col("also").isNull() | (F.col("node") > F.col("p")))
-        tests = is_pivot.alias("x").join(pivots.alias("y"), (F.col("x.band") == F.col("y.band")) & apart)
-        pairs = tests.select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v")).distinct()
-        active = is_pivot.where("also is null").select("band", "node", *size)
+            with_sets(pairs.select(F.col("u").alias("node")).distinct().unionAll(pairs.select("v").distinct()).distinct())
+            linked(confirmed(pairs, sets))
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        near = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in sketch) <= most_bits()
+        return pairs.join(small.alias("b"), F.col("v") == F.col("b.node")).join(small.alias("a"), F.col("u") == F.col("a.node")).where(near).select("u", "v")
+
+    def labelled() -> DataFrame:
+        """The active rows with their component."""
+        if labels is None:
+            return active.withColumn("comp", F.col("node"))
+        return active.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    linkable = can_link(F.col("n"), F.col("s"), F.col("pn"), F.col("ps"))
+    tested(sketched(active.where(linkable).select(F.col("p").alias("u"), F.col("node").alias("v")).distinct()))
+    active = active.select("band", "node", *size)
+    # Members outside a band's largest component meet two of its nodes, which differ from band to band: a group of near copies
+    # of which some missed the least node comes together here.
+    state = labelled()
+    several = state.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    active = state = scratch.keep(state.join(several, "band").select("band", "node", *size, "comp"), "state")
+    largest = state.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("pc"))
+    state = scratch.keep(state.join(largest, "band"), "state")
+    spread = F.struct(F.xxhash64("node", "band").alias("h"), "node", *size)
+    both = state.where("comp = pc").groupBy("band").agg(F.array(F.min(spread), F.max(spread)).alias("r"))
+    tests = state.where("comp <> pc").join(both, "band").select("node", *size, F.explode("r").alias("r")).where(can_link(F.col("n"), F.col("s"), F.col("r.n"), F.col("r.s")))
+    tested(sketched(tests.select(F.least("node", "r.node").alias("u"), F.greatest("node", "r.node").alias("v")).distinct()))
+    active = active.drop("comp")
+    listed = scratch.keep(candidates(scratch.keep(labelled(), "rest"), nodes), "candidates")
+    if not listed.isEmpty():
+        with_sets(listed.where("node is not null").select("node").distinct())
+        linked(confirmed_in_groups(listed, sets))
     if links is not None:
         labels = components(links, scratch)
     least = sig.where("n > 0").groupBy("node").agg(F.min("key").alias("least"))
@@ -350,13 +500,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Sc
     else:
         least = least.withColumn("comp", F.col("node"))
     out = sig.select("key", "t1", "t2", "n", "node").join(least, "node", "left")
-    return out.select("key", "t1", "t2", "n", "node", "comp", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("group"))
+    out = scratch.keep(out.select("key", "t1", "t2", "n", "node", "comp", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("group")), "groups")
+    scratch.drop(before, "groups")
+    return out
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, as it is: one of the group's id; among texts under that id the one of the least digest. Rows with the empty set are groups of their own."""
     scratch = Scratch(docs.sparkSession)
-    found = scratch.keep(groups(docs, key, text, scratch).where("n > 0").select("key", "t1", "t2", "comp", "group"), "found")
+    found = groups(docs, key, text, scratch).where("n > 0").select("key", "t1", "t2", "comp", "group")
     is_id = F.col("key").eqNullSafe(F.col("group"))
     ids = found.where(is_id).groupBy("comp", "key", "t1", "t2").agg(F.count("*").alias("c"))
     best = ids.groupBy("comp").agg(F.min(F.struct("t1", "t2")).alias("w"))
