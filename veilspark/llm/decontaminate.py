@@ -6,8 +6,9 @@ where a pattern may end: a shift table, hashed by block, says how many words on
 earliest; where it says 0, the block's hash bucket names the patterns to test, word by word and then byte by byte.
 Many stretches of text ("lanes") are scanned in step, each with its own position, so that numpy does the skipping.
 
-Patterns are a stated set: they are sent to all tasks in blocks of at most PATTERN_BYTES of benchmark text, and the
-documents pass all blocks in one stage, with no shuffle, carrying what the earlier blocks found.
+Patterns are a stated set: they are sent to all tasks in blocks of at most PATTERN_BYTES of benchmark text, one block at a
+time. Documents pass a block without a shuffle, carrying what the earlier blocks found; where there are several blocks, what a
+pass found is written to the shared scratch folder before the next block is made.
 
 Words: A-Z lower-cased, then maximal runs of [0-9a-z] and of anything beyond ASCII. Defined results: null and empty
 texts have no words and are never contaminated; items without words match nothing; repeated items count once by id; a
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, released, slices, span_hash, utf8, word_spans
+from .common import Scratch, mix, released, slices, span_hash, utf8, word_spans
 
 WINDOW, BLOCK = 13, 3
 #: Contaminated: at least one word in SHARE is hit.
@@ -184,18 +185,21 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
     spans: runs of hit words, from 0, end exclusive; item_ids: as strings, sorted.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(item_text, F.lit("")).alias("t")).distinct()
+    items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("t")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("i")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // PATTERN_BYTES))
     rest = "n_words long, spans array<struct<start:long,end:long>>, item_ids array<string>"
     state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("t"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(rest).fields])
     out_schema = state.schema
     arrow = _arrow(out_schema)
+    passes = Scratch(docs.sparkSession) if blocks > 1 else None
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         groups = compile_patterns([(r["i"], r["t"]) for r in part.collect()])
-        state = state.mapInArrow(_pass(groups, 1, arrow), out_schema)
+        state = state.mapInArrow(released(_pass(groups, 1, arrow)), out_schema)
+        if b + 1 < blocks:
+            state = passes.keep(state, "pass")
+            passes.drop(0, "pass")  # the one before has been read
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return state.select(
         "doc", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans"

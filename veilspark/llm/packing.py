@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, slices, utf8
+from .common import Scratch, released, slices, utf8
 from .decontaminate import _arrow
 
 LENGTH, OPEN, MIN_CUT, MERGED, END = 2048, 64, 16, 16, 1
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", length: int =
             done = packer.out
             yield rows(pa.concat_arrays([p[0] for p in done]), done, True, part)
 
-    packed = scratch.keep(state.mapInArrow(pack_partition, schema), "packed")
+    packed = scratch.keep(state.mapInArrow(released(pack_partition), schema), "packed")
     final = T.StructType(schema.fields[:-2])
     final_arrow = _arrow(final)
 

@@ -268,7 +268,7 @@ def strip(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, chunk_arrow)], schema=chunk_arrow)
                 number += 1
 
-    chunks = scratch.keep(state.mapInArrow(cut, chunk_schema), "chunks")
+    chunks = scratch.keep(state.mapInArrow(released(cut), chunk_schema), "chunks")
     total = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(1 << 23, max(4 * partitions, -(-total * len(COVER) * 5 // (PERIOD * BUCKET_BYTES))))
@@ -362,7 +362,7 @@ def strip(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, out_arrow)], schema=out_arrow)
 
     texts = chunks.groupBy("chunk")
-    step1 = chunks.select("chunk", "offsets", "data").mapInArrow(send_ranks, SENT).groupBy("bucket").applyInArrow(_bucket_function, SENT)
+    step1 = chunks.select("chunk", "offsets", "data").mapInArrow(released(send_ranks), SENT).groupBy("bucket").applyInArrow(_bucket_function, SENT)
     step2 = texts.cogroup(step1.groupBy("chunk")).applyInArrow(send_reaches, SENT).groupBy("bucket").applyInArrow(_bucket_function, SENT)
     step3 = texts.cogroup(step2.groupBy("chunk")).applyInArrow(send_suffixes, SENT).groupBy("bucket").applyInArrow(_bucket_function, SENT)
     return texts.cogroup(step3.groupBy("chunk")).applyInArrow(finish, out_schema)
