@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from veilspark.operators import pseudonym as P
 from veilspark.sources import csvkit
 
-SAMPLE = 'name,email,postcode,dob,sex,score\nJane Doe,jane@example.com,02864,1980-05-01,F,7\n"Doe, John",john@example.com,02864,1981-06-02,M,5\njane doe,JANE@example.com,02865,1980-05-01,F,9\n'
-HEADER = "name email postcode dob sex score".split()
+SAMPLE = 'holder,contact,zip,born,plan,visits\nMaría Ruiz,m.ruiz@mail.test,90012,1975-11-30,gold,3\n"Okafor, Chidi",chidi@mail.test,90012,1990-02-14,basic,8\nmaría  RUIZ,M.RUIZ@mail.test,90013,1975-11-30,gold,1\n'
+HEADER = "holder contact zip born plan visits".split()
 
 
 @pytest.fixture
@@ -19,21 +19,35 @@ def table(spark):
 
 
 def test_keyed(table):
-    key = P.derive_key("correct horse", b"some salt", rounds=1000)
-    assert key == hashlib.pbkdf2_hmac("sha256", b"correct horse", b"some salt", 1000)
-    got = P.keyed(table, ["name", "email"], key).orderBy("_row").collect()
+    key = P.derive_key("four words of spring", b"a salt of ours", rounds=500)
+    assert key == hashlib.pbkdf2_hmac("sha256", b"four words of spring", b"a salt of ours", 500)
+    got = P.keyed(table, ["holder", "contact"], key).orderBy("_row").collect()
     want = lambda column, value: hmac.new(key, f"{column}\0{value}".encode(), "sha256").hexdigest()[:16]
-    assert [r["name"] for r in got] == [want("name", v) for v in ("jane doe", "doe, john", "jane doe")]
-    assert [r["email"] for r in got] == [want("email", v) for v in ("jane@example.com", "john@example.com", "jane@example.com")]
+    assert [r["holder"] for r in got] == [want("holder", v) for v in ("maría ruiz", "okafor, chidi", "maría ruiz")]
+    assert [r["contact"] for r in got] == [want("contact", v) for v in ("m.ruiz@mail.test", "chidi@mail.test", "m.ruiz@mail.test")]
 
 
 def test_tokens_and_back(table):
-    words = P.dictionary(table, ["name", "email"], "_row")
-    assert {(r["column"], r["token"], r["original"]) for r in words.collect()} == {("name", "NAME-0001", "Jane Doe"), ("name", "NAME-0002", "Doe, John"), ("email", "EMAIL-0001", "jane@example.com"), ("email", "EMAIL-0002", "john@example.com")}
-    out = P.tokens(table, ["name", "email"], words).orderBy("_row")
-    assert [r["name"] for r in out.collect()] == ["NAME-0001", "NAME-0002", "NAME-0001"]
-    assert [r["email"] for r in P.reidentify(out, "email", words).orderBy("_row").collect()] == ["jane@example.com", "john@example.com", "jane@example.com"]
-    assert tuple(P.replaced(table, ["name", "email"]).first()) == (4, 2, 3)
+    words = P.dictionary(table, ["holder", "contact"], "_row")
+    assert {(r["column"], r["token"], r["original"]) for r in words.collect()} == {("holder", "HOLDER-0001", "María Ruiz"), ("holder", "HOLDER-0002", "Okafor, Chidi"), ("contact", "CONTACT-0001", "m.ruiz@mail.test"), ("contact", "CONTACT-0002", "chidi@mail.test")}
+    out = P.tokens(table, ["holder", "contact"], words).orderBy("_row")
+    assert [r["holder"] for r in out.collect()] == ["HOLDER-0001", "HOLDER-0002", "HOLDER-0001"]
+    assert [r["contact"] for r in P.reidentify(out, "contact", words).orderBy("_row").collect()] == ["m.ruiz@mail.test", "chidi@mail.test", "m.ruiz@mail.test"]
+    assert tuple(P.replaced(table, ["holder", "contact"]).first()) == (4, 2, 3)
+
+
+def test_equal_order_values_and_clashing_names(spark):
+    rows = [(1, f"v{i % 7}", "n", "t", "row", "p", "o") for i in range(70)]
+    df = spark.createDataFrame(rows, "at long, `a.b` string, n string, t string, row string, p string, all string").repartition(5)
+    words = P.dictionary(df, ["a.b", "row"], "at")
+    assert sorted((r["norm"], r["token"]) for r in words.where("column = 'a.b'").collect()) == [(f"v{i}", f"A-B-000{i + 1}") for i in range(7)]
+    out = P.tokens(df, ["a.b", "row"], words)
+    assert out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} == {("n", "t", "ROW-0001", "p", "o")}
+    back = P.reidentify(P.reidentify(out, "a.b", words), "row", words)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    sized = P.with_class_size(df, ["a.b", "n"])
+    assert sized.columns == [*df.columns, "class_size"] and {r.class_size for r in sized.collect()} == {10}
+    assert P.dictionary(df.where("false"), ["n"], "at").count() == 0
 
 
 def test_more_than_9999_tokens(spark):
@@ -44,10 +58,10 @@ def test_more_than_9999_tokens(spark):
 
 
 def test_risk(table):
-    got = P.uniqueness(table, ["postcode", "dob", "sex"]).first()
-    assert (got.n_rows, got.n_unique, got.percent) == (3, 3, 100) and got.verdict == "3 of 3 rows (100%) are unique on postcode + dob + sex."
-    assert P.uniqueness(table, ["sex"]).first().percent == 33
-    assert P.uniqueness(table.where("false"), ["sex"]).first().percent == 0
+    got = P.uniqueness(table, ["zip", "born", "plan"]).first()
+    assert (got.n_rows, got.n_unique, got.percent) == (3, 3, 100) and got.verdict == "3 of 3 rows (100%) are unique on zip + born + plan."
+    assert P.uniqueness(table, ["plan"]).first().percent == 33
+    assert P.uniqueness(table.where("false"), ["plan"]).first().percent == 0
 
 
 def test_empty_and_null_stay_empty(spark):

@@ -82,3 +82,40 @@ def test_single_types(kind, text, hit):
 
 def test_stop_pairs():
     assert spans("in New York today", ["capnames"]) == []
+
+
+@pytest.mark.parametrize(
+    "term,text,hits",
+    [
+        ("café", "Un CAFÉ, un café, un Café, cafés", ["CAFÉ", "café", "Café", "café"]),
+        ("straße", "STRAßE Straße STRASSE", ["STRAßE", "Straße"]),
+        ("Σίγμα", "σίγμα ΣΊΓΜΑ ςίγμα", ["σίγμα", "ΣΊΓΜΑ", "ςίγμα"]),
+        ("sk", "SK sk ſk s\u212a ask", ["SK", "sk"]),
+        ("éa", "xéa éa", ["éa", "éa"]),
+        ("a.b", "a.b axb A.B", ["a.b", "A.B"]),
+    ],
+)
+def test_terms_in_any_case(term, text, hits):
+    """Letters are one if they share an upper-case character, ASCII letters only with each other; boundaries are ASCII."""
+    assert [s["text"] for s in spans(text, ["custom"], [term])] == hits
+
+
+def test_registered_types(spark):
+    from pyspark.sql import functions as F
+
+    case = detectors.Detector("case", "CASE", r"\b[A-Z]{2}-\d{9}\b", check=lambda m: m.endswith("5"))
+    detectors.register(case, before="routing")
+    try:
+        assert [d.id for d in detectors.ordered()].index("case") == [d.id for d in detectors.ordered()].index("routing") - 1
+        with pytest.raises(ValueError):
+            detectors.register(case)
+        text = "see AB-011000015 and AB-011000011, 011000015"
+        found = spark.createDataFrame([(text,)], "t string").withColumn("s", redact.detect(F.col("t")))
+        assert [(s.type, s.text) for s in found.first().s] == [("case", "AB-011000015"), ("routing", "011000015")]
+        assert found.select(redact.apply(F.col("t"), F.col("s"), "pseudonym")["text"]).first()[0] == "see CASE-1 and AB-011000011, ROUTING-1"
+    finally:
+        detectors.unregister("case")
+    with pytest.raises(ValueError):
+        spans(text, ["case"])
+    with pytest.raises(ValueError):
+        detectors.register(case, before="nothing")

@@ -26,17 +26,19 @@ def quoted_line(columns: list[Column]) -> Column:
     return F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns])
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def sniff_delimiter(text: Column) -> Column:
     """The delimiter of the first ten lines: a count that is the same on all lines counts tenfold, ties go to , ; tab | in this order."""
     lines = F.filter(F.slice(F.split(F.substring(text, 1, 20_000), "\r?\n", -1), 1, 10), lambda x: F.length(x) > 0)
-    best, top = F.lit(","), F.lit(-1)
-    for d in DELIMITERS:
-        sign = F.lit(d)
-        counts = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, sign, F.lit(""))))  # noqa: B023
-        low = F.array_min(counts)
-        score = F.when(F.size(lines) == 0, -1).when((low > 0) & (low == F.array_max(counts)), low * 10).otherwise(low)
-        best, top = F.when(score > top, d).otherwise(best), F.greatest(score, top)
-    return best
+    signs = F.array(*[F.lit(d) for d in DELIMITERS])
+    counts = lambda ls, d: F.transform(ls, lambda x: F.length(x) - F.length(F.replace(x, d, F.lit(""))))
+    score = lambda c: _let(F.struct(F.array_min(c).alias("low"), F.array_max(c).alias("high")), lambda m: F.when((m["low"] > 0) & (m["low"] == m["high"]), m["low"] * 10).otherwise(F.coalesce(m["low"], F.lit(-1))))
+    scores = _let(lines, lambda ls: F.transform(signs, lambda d: _let(counts(ls, d), score)))
+    return _let(scores, lambda s: F.element_at(signs, F.array_position(s, F.array_max(s)).cast("int")))
 
 
 def clean_name(name: Column) -> Column:

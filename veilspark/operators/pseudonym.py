@@ -68,20 +68,21 @@ def dictionary(df: DataFrame, columns: list[str], order: str, fold: bool = True)
     """(column, norm, token, original): tokens numbered by first appearance in the order column.
 
     Values are made distinct with partial aggregation before anything is ranked, so only the dictionary is sorted, and it is
-    numbered in two steps: ranges of the order column (a number or a time) by their counts, then rows within a range. No task
-    sees a whole column.
+    numbered in two steps: ranges of the order column (a number or a time) by their counts, then rows within a range, by order
+    and then by value. No task sees a whole column. Nothing runs before the result is asked for: the ranges' bounds are a table
+    of one row.
     """
     if not columns:
         raise ValueError("no column to replace")
     names = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("raw")) for c in columns])
-    cells = df.select(F.col(order).alias("o"), F.explode(names).alias("x")).select("o", "x.column", "x.raw", normalize(F.col("x.raw"), fold).alias("norm"))
+    cells = df.select(F.col(f"`{order}`").alias("o"), F.explode(names).alias("x")).select("o", "x.column", "x.raw", normalize(F.col("x.raw"), fold).alias("norm"))
     first = cells.where("norm <> ''").groupBy("column", "norm").agg(F.min(F.struct("o", "raw")).alias("f"))
     first = first.select("column", "norm", F.col("f.o").alias("o"), F.col("f.raw").alias("original"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = first.agg(F.percentile_approx("o", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    part = sum((F.col("o") > F.lit(b)).cast("int") for b in sorted(set(bounds))) if bounds else F.lit(0)
-    parts = first.withColumn("p", part)
-    within = parts.withColumn("r", F.row_number().over(Window.partitionBy("column", "p").orderBy("o")))
+    bounds = first.agg(F.percentile_approx("o", [i / n for i in range(1, n)] or [0.5], 10_000).alias("bounds")).select(F.lit(1).alias("all"), F.coalesce("bounds", F.array()).alias("bounds"))
+    range_of = F.size(F.filter(F.array_distinct("bounds"), lambda b: F.col("o") > b))
+    parts = first.withColumn("all", F.lit(1)).join(F.broadcast(bounds), "all").select("column", "norm", "o", "original", range_of.alias("p"))
+    within = parts.withColumn("r", F.row_number().over(Window.partitionBy("column", "p").orderBy("o", "norm")))
     before = parts.groupBy("column", "p").count().withColumn("base", F.sum("count").over(Window.partitionBy("column").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)))
     prefix = F.create_map(*[F.lit(x) for pair in zip(columns, slugs(columns)) for x in pair])
     out = within.join(before.select("column", "p", F.coalesce("base", F.lit(0)).alias("base")), ["column", "p"])
@@ -89,21 +90,32 @@ def dictionary(df: DataFrame, columns: list[str], order: str, fold: bool = True)
     return out.select("column", "norm", token.alias("token"), "original")
 
 
+def _row(df: DataFrame) -> DataFrame:
+    """The columns as one struct, so that helper columns can't clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def _columns(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
 def tokens(df: DataFrame, columns: list[str], words: DataFrame, fold: bool = True) -> DataFrame:
     """The columns replaced by their tokens; a join a column (Spark broadcasts small dictionaries by itself)."""
-    out = df
+    out = _row(df)
     for c in columns:
-        own = words.where(F.col("column") == c).select(F.col("norm").alias("_norm"), F.col("token").alias("_token"))
-        out = out.withColumn("_norm", normalize(F.col(f"`{c}`"), fold)).join(own, "_norm", "left")
-        out = out.withColumn(c, F.coalesce("_token", F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))).drop("_norm", "_token")
-    return out.select(*[f"`{c}`" for c in df.columns])
+        cell = F.col("row").getField(c)
+        own = words.where(F.col("column") == c).select(F.col("norm").alias("n"), F.col("token").alias("t"))
+        out = out.withColumn("n", normalize(cell, fold)).join(own, "n", "left")
+        out = out.select(F.col("row").withField(f"`{c}`", F.coalesce("t", cell.cast("string"), F.lit(""))).alias("row"))
+    return _columns(out, df.columns)
 
 
 def reidentify(df: DataFrame, column: str, words: DataFrame) -> DataFrame:
     """The column's tokens replaced by the originals; what is no token stays."""
-    own = words.where(F.col("column") == column).select(F.col("token").alias(column), F.col("original").alias("_original"))
-    out = df.join(own, column, "left").withColumn(column, F.coalesce("_original", column))
-    return out.select(*[f"`{c}`" for c in df.columns])
+    own = words.where(F.col("column") == column).select(F.col("token").alias("t"), F.col("original").alias("o"))
+    cell = F.col("row").getField(column)
+    out = _row(df).join(own, cell == F.col("t"), "left").select(F.col("row").withField(f"`{column}`", F.coalesce("o", cell)).alias("row"))
+    return _columns(out, df.columns)
 
 
 def class_sizes(df: DataFrame, quasi: list[str]) -> DataFrame:
@@ -123,9 +135,10 @@ def uniqueness(df: DataFrame, quasi: list[str]) -> DataFrame:
 
 def with_class_size(df: DataFrame, quasi: list[str], name: str = "class_size") -> DataFrame:
     """Each row with its class's size, by a join on counts (a window would bring a hot class into one task)."""
-    keys = {c: f"_q{i}" for i, c in enumerate(quasi)}
-    sizes = class_sizes(df, quasi).select(*[F.col(f"`{c}`").alias(k) for c, k in keys.items()], F.col("n").alias(name))
-    return df.withColumns({k: normalize(F.col(f"`{c}`")) for c, k in keys.items()}).join(sizes, list(keys.values()), "left").drop(*keys.values())
+    class_of = F.struct(*[normalize(F.col(f"`{c}`")).alias(f"q{i}") for i, c in enumerate(quasi)])
+    sizes = df.select(class_of.alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), class_of.alias("class")).join(sizes, "class", "left")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.col("n").alias(name))
 
 
 def replaced(df: DataFrame, columns: list[str], fold: bool = True) -> DataFrame:

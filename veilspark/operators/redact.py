@@ -65,12 +65,11 @@ def detect(text: Column, types=None, terms=(), on_overlap: str = "drop") -> Colu
     """Array of spans (start, end, type, text) in code points. A null or empty text has none."""
     if on_overlap not in ("drop", "merge"):
         raise ValueError("on_overlap is drop or merge")
-    D.compiled(types, terms)  # unknown types fail when the plan is built
-    wanted, words = None if types is None else tuple(types), tuple(terms)
+    chosen = D.choose(types, terms)  # unknown types fail when the plan is built; tasks get the detectors by value
 
     @pandas_udf(SPANS)
     def run(texts: pd.Series) -> pd.Series:
-        compiled = D.compiled(wanted, words)
+        compiled = chosen.compiled()
         return texts.map(lambda t: find_spans(t, compiled, on_overlap))
 
     return run(text)
@@ -81,13 +80,15 @@ def keep(spans: Column, values: Column) -> Column:
     return F.filter(spans, lambda s: ~F.array_contains(values, s["text"]))
 
 
-def splice(text: str | None, spans, mode: str, strict_compat: bool = False) -> tuple[str | None, list[dict]]:
-    """The redacted text, and in pseudonym mode the mapping in order of appearance."""
+def splice(text: str | None, spans, mode: str, strict_compat: bool = False, known: dict[str, D.Detector] | None = None) -> tuple[str | None, list[dict]]:
+    """The redacted text, and in pseudonym mode the mapping in order of appearance. known: the types by id."""
     if text is None:
         return None, []
+    known = D.by_id() if known is None else known
     out, last, tokens, counters, mapping = [], 0, {}, {}, []
     for s in sorted(spans if spans is not None else [], key=lambda s: s["start"]):
-        kind, token = s["type"], D.token_for(s["type"])
+        kind = s["type"]
+        token = known[kind].token if kind in known else kind.upper()
         if mode == "block":
             put = BLOCK
         elif mode == "label":
@@ -95,7 +96,7 @@ def splice(text: str | None, spans, mode: str, strict_compat: bool = False) -> t
         else:
             # One counter a token, so that two values never share a pseudonym; strict_compat counts by type.
             group = kind if strict_compat else token
-            key = group, D.normalize(kind, s["text"], strict_compat)
+            key = group, D.normalize(known.get(kind, kind), s["text"], strict_compat)
             if key not in tokens:
                 counters[group] = counters.get(group, 0) + 1
                 tokens[key] = f"{token}-{counters[group]}"
@@ -112,9 +113,11 @@ def apply(text: Column, spans: Column, mode: str = "label", strict_compat: bool
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
 
+    known = D.by_id()
+
     @pandas_udf("text string, mapping array<struct<type:string,token:string,original:string>>")
     def run(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([splice(t, s, mode, strict_compat) for t, s in zip(texts, found)], columns=["text", "mapping"])
+        return pd.DataFrame([splice(t, s, mode, strict_compat, known) for t, s in zip(texts, found)], columns=["text", "mapping"])
 
     return run(text, spans)
 
