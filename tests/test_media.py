@@ -127,6 +127,47 @@ def test_office(spark):
     assert [x[0] for x in df.select(scrub.docx_text(F.col("c"))).collect()] == ["Hi\tyou < me\n", None, None]
 
 
+def test_office_rules():
+    from veilspark.sources import office
+
+    xml = """<?xml version="1.0"?><!-- <dc:title>no</dc:title> --><a:x dc:y='>'><dc:title>One <b>two</b></dc:title><dc:title/><cp:lastPrinted z="1">x</cp:lastPrinted>&amp;lt;</a:x>"""
+    assert "".join(t.source for t in office.tags(xml)) == xml
+    core = office.rules_for(office.CORE_PART, Options())
+    assert office.rewritten(xml, core) == (xml.replace("One <b>two</b>", "").replace('<cp:lastPrinted z="1">x</cp:lastPrinted>', ""), 0)
+    comments = '<authors><author>Ann</author><author> Bo </author></authors><comment authorId="0"/>'
+    assert office.authors(comments) == ["Ann", "Bo"]
+    assert office.rewritten(comments, office.rules_for("xl/comments1.xml", Options())) == (comments.replace("Ann", "Author").replace(" Bo ", "Author"), 2)
+    slides = '<p:cmAuthor id="1" name="Ann" initials="AN" lastIdx="2"/>'
+    assert office.rewritten(slides, office.rules_for("ppt/commentAuthors.xml", Options())) == ('<p:cmAuthor id="1" name="Author" initials="A" lastIdx="2"/>', 1)
+    people = '<w15:person w15:author="Ann"><w15:presenceInfo w15:userId="S::a@b"/></w15:person>'
+    assert office.rewritten(people, office.rules_for("word/people.xml", Options())) == (people.replace("Ann", "Author").replace("S::a@b", ""), 1)
+    assert office.rules_for("word/document.xml", Options(anonymize_authors=False)) is None and office.rules_for("word/styles.xml", Options()) is None
+    report = Report("docx")
+    office._properties(report, "<P><Company>A&amp;B</Company><Company>C</Company><TotalTime>0</TotalTime><AppVersion>16</AppVersion></P>", office.APP, office.PROGRAM)
+    assert [(f["section"], f["name"], f["value"]) for f in report.findings] == [("Properties", "Company", "A&B"), ("Kept", "App version", "16")]
+
+
+def test_jpeg_stream_and_iptc():
+    stuffed = b"\xff\xd8" + b"\xff\xff" + segment(0xFE, b"a") + b"\xff\xd0" + b"\xff" + segment(0xDA, b"") + b"scan"
+    assert [(p.kind, stuffed[p.data : p.stop]) for p in images.jpeg_segments(stuffed)] == [("FFFE", b"a"), ("FFDA", b"")]
+    assert images.jpeg_segments(b"\xff\xd8\xff\xff\xff") == []
+    for bad in (b"\xff\xd8junk", b"\xff\xd8\xff\xe1", b"\x89PNG"):
+        with pytest.raises(ValueError):
+            images.jpeg_segments(bad)
+    report = Report("jpeg")
+    dataset = lambda n, value: b"\x1c\x02" + bytes([n]) + struct.pack(">H", len(value)) + value
+    images.iptc(report, b"8BIM\x1c" + dataset(105, b"Head") + b"\0" + dataset(200, b"?") + dataset(90, "Köln".encode()) + b"\x1c\x02\x05")
+    assert [(f["name"], f["value"]) for f in report.findings] == [("Headline", "Head"), ("City", "Köln")]
+
+
+def test_examining_reads_once(spark):
+    df = spark.createDataFrame([(1, bytearray(JPEG)), (2, bytearray(office_file())), (3, bytearray(b"GIF")), (4, None)], "i int, c binary")
+    both = df.select("i", scrub.examine(F.col("c")).alias("x"), scrub.inspect(F.col("c")).alias("r"), scrub.clean(F.col("c")).alias("k")).orderBy("i").collect()
+    assert all(r.x.report == r.r and r.x.cleaned == r.k for r in both[:3]) and both[3].x is None
+    rows = scrub.findings(df.select("i", scrub.inspect(F.col("c")).alias("r")), "i", "r").where("i = 1").orderBy("idx").collect()
+    assert [r.heading for r in rows] == [r.section if not k or rows[k - 1].section != r.section else "" for k, r in enumerate(rows)]
+
+
 def test_unreadable(spark):
     cases = [b"", b"GIF89a", b"\xff\xd8\x00", b"PK\3\4", b"\0\0\0\x18ftypheic\0", b"%PDF", PNG[:20], JPEG[:25], None]
     df = spark.createDataFrame([(i, None if c is None else bytearray(c)) for i, c in enumerate(cases)], "i int, c binary")

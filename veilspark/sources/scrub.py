@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 import pandas as pd
@@ -15,8 +16,8 @@ from .report import CLEANED, REPORT, FormatError, Options, Report
 from .zipfmt import ZipError
 
 _UNSUPPORTED = {
-    "heic": "HEIC and HEIF images are not supported yet. Export the photo as JPEG first.",
-    "unknown": "Not a file type that is understood: JPEG, PNG, WebP, PDF, DOCX, XLSX or PPTX.",
+    "heic": "HEIC and HEIF images can't be read; a JPEG export can.",
+    "unknown": "None of JPEG, PNG, WebP, PDF, DOCX, XLSX and PPTX.",
 }
 _INSPECT = {"jpeg": images.jpeg_inspect, "png": images.png_inspect, "webp": images.webp_inspect, "pdf": pdf.inspect, "zip": office.inspect}
 _ERRORS = (FormatError, ZipError, struct.error, IndexError, ValueError)
@@ -39,11 +40,11 @@ def inspect_one(b: bytes) -> Report:
     try:
         return _INSPECT[kind](b)
     except _ERRORS as e:
-        return Report(kind, notes=[f"Could not read this file: {e}"], unsupported=True)
+        return Report(kind, notes=[f"Unreadable: {e}"], unsupported=True)
 
 
-def clean_one(b: bytes, options: Options) -> dict:
-    report = inspect_one(b)
+def cleaned(b: bytes, report: Report, options: Options) -> dict:
+    """A copy without what was reported."""
     try:
         if report.kind == "jpeg":
             out, changes = images.jpeg_clean(b, report, options)
@@ -62,6 +63,29 @@ def clean_one(b: bytes, options: Options) -> dict:
     return {"bytes": out, "changes": changes, "error": None}
 
 
+def clean_one(b: bytes, options: Options) -> dict:
+    return cleaned(b, inspect_one(b), options)
+
+
+def examine(content: Column, options: Options = Options()) -> Column:
+    """Struct of report (REPORT) and cleaned (CLEANED): contents go to Python once for both. Null contents give null."""
+
+    @pandas_udf(f"report struct<{_typed(REPORT)}>, cleaned struct<{_typed(CLEANED)}>")
+    def run(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in contents:
+            report = inspect_one(bytes(c)) if c is not None else Report("unknown")
+            rows.append((report.row(), cleaned(bytes(c), report, options) if c is not None else {"bytes": None, "changes": [], "error": "null"}))
+        return pd.DataFrame(rows, columns=["report", "cleaned"])
+
+    return F.when(content.isNotNull(), run(content))
+
+
+def _typed(fields: str) -> str:
+    """"a int, b long" as the inside of a struct type."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2:", fields)
+
+
 def inspect(content: Column) -> Column:
     """Struct of the fields of REPORT; null contents give null."""
 
@@ -126,10 +150,11 @@ def summary(report: Column, size: Column, cleaned: Column) -> Column:
 
 def findings(df: DataFrame, path: str, report: str) -> DataFrame:
     """(path, idx, heading, section, name, value, risky): the heading is blank where it repeats the finding before."""
-    each = df.select(path, F.posexplode(f"{report}.findings").alias("idx", "f"), F.col(f"{report}.findings").alias("all"))
-    before = F.when(F.col("idx") > 0, F.get("all", F.col("idx") - 1)["section"])
-    heading = F.when(F.col("f.section").eqNullSafe(before), "").otherwise(F.col("f.section"))
-    return each.select(path, "idx", heading.alias("heading"), "f.*")
+    all_ = F.col(f"{report}.findings")
+    same = lambda f, i: F.when(i > 0, F.get(all_, i - 1)["section"]).eqNullSafe(f["section"])
+    headed = F.transform(all_, lambda f, i: F.struct(F.when(same(f, i), "").otherwise(f["section"]).alias("heading"), f.alias("f")))
+    each = df.select(path, F.posexplode(headed).alias("idx", "x"))
+    return each.select(path, "idx", "x.heading", "x.f.*")
 
 
 def clean_copies(files: DataFrame, options: Options = Options()) -> DataFrame:
