@@ -97,12 +97,12 @@ def inspect(b: bytes) -> Report:
             try:
                 add_xmp(report, zlib.decompress(data).decode("utf-8", "replace"))
             except zlib.error:
-                report.notes.append("An XMP stream could not be decompressed for display.")
+                report.notes.append("An XMP stream doesn't decompress, so what it holds isn't shown.")
     report.encrypted = bool(re.search(rb"/Encrypt\b", b))
     if report.encrypted:
-        report.notes.append("This PDF is encrypted. Its metadata cannot be read or blanked here.")
+        report.notes.append("The file is encrypted; its metadata stays as it is.")
     if re.search(rb"/ObjStm\b", b):
-        report.notes.append("This PDF stores some objects in compressed object streams. Metadata inside those cannot be reached without re-saving the file, so a cleaned copy may still carry it.")
+        report.notes.append("Some objects are in compressed object streams, which are not opened: a cleaned copy may still hold metadata in them.")
     return report
 
 
@@ -113,17 +113,17 @@ def clean(b: bytes, report: Report) -> tuple[bytes, list[str]]:
     for t in found:
         out[t.start + 1 : t.end - 1] = b" " * (t.end - t.start - 2)
     if found:
-        changes.append(f"Blanked {len(found)} document information field{'s' * (len(found) > 1)} in place")
+        changes.append(f"Overwrote {len(found)} string{'s' * (len(found) > 1)} of the document information with spaces")
     for s in streams(b):
         size = size_text(s.length)
         if s.filter is None:
             out[s.start : s.start + s.length] = b" " * s.length
-            changes.append(f"Blanked an XMP metadata stream, {size}")
+            changes.append(f"Overwrote an XMP stream of {size} with spaces")
         elif s.filter != "FlateDecode" or s.parms:
-            changes.append(f"An XMP stream uses an unsupported encoding ({s.filter}) and was left in place")
+            changes.append(f"Left an XMP stream as it is, for its filter ({s.filter})")
         elif (blank := blank_zlib(s.length)) is None:
-            changes.append("An XMP stream was too small to replace safely and was left in place")
+            changes.append("Left an XMP stream as it is, for its size")
         else:
             out[s.start : s.start + s.length] = blank
-            changes.append(f"Replaced a compressed XMP metadata stream with blank data of the same size, {size}")
+            changes.append(f"Put a compressed stream of spaces in the place of an XMP stream of {size}")
     return bytes(out), changes

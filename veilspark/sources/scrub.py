@@ -108,37 +108,46 @@ def clean(content: Column, options: Options = Options()) -> Column:
     return run(content)
 
 
+_PARTS = {"jpeg": images.jpeg_segments, "png": images.png_chunks, "webp": images.webp_chunks}
+
+
+def parts_of(content: bytes | None) -> list[images.Part] | None:
+    """The segments or chunks of an image; None if it can't be read."""
+    try:
+        return _PARTS[kind_of(bytes(content))](bytes(content))
+    except (KeyError, TypeError, *_ERRORS):
+        return None
+
+
 def segments(content: Column) -> Column:
     """Array of the segments or chunks of an image: kind, start, end; null if it can't be read."""
-    readers = {"jpeg": images.jpeg_segments, "png": images.png_chunks, "webp": images.webp_chunks}
 
     @pandas_udf("array<struct<kind:string,start:long,end:long>>")
     def run(contents: pd.Series) -> pd.Series:
-        def one(c):
-            try:
-                return [{"kind": p.kind, "start": p.start, "end": p.end} for p in readers[kind_of(bytes(c))](bytes(c))]
-            except (KeyError, TypeError, *_ERRORS):
-                return None
-
-        return contents.map(one)
+        return contents.map(lambda c: None if (parts := parts_of(c)) is None else [{"kind": p.kind, "start": p.start, "end": p.end} for p in parts])
 
     return run(content)
 
 
-def docx_text(content: Column) -> Column:
-    """Plain text of word-processing documents: unzipped in Python, made text on the JVM; null if there is no main part."""
+def part_text(content: Column, name: str) -> Column:
+    """A part of an archive as text; null if it isn't there."""
 
     @pandas_udf("string")
-    def xml(contents: pd.Series) -> pd.Series:
+    def run(contents: pd.Series) -> pd.Series:
         def one(c):
             try:
-                return office.document_xml(bytes(c))
+                return office.part_of(bytes(c), name)
             except (TypeError, *_ERRORS):
                 return None
 
         return contents.map(one)
 
-    return document_text(xml(content))
+    return run(content)
+
+
+def docx_text(content: Column) -> Column:
+    """Plain text of word-processing documents: unzipped in Python, made text on the JVM; null if there is no main part."""
+    return document_text(part_text(content, "word/document.xml"))
 
 
 def summary(report: Column, size: Column, cleaned: Column) -> Column:
