@@ -71,6 +71,8 @@ def test_parameters(spark):
 def test_training_by_group(spark):
     df = spark.createDataFrame([("a", TEXT), ("b", TEXT.upper()), ("c", "xx"), ("d", None)], "k string, t string")
     out = R.train(df, "k", "t", R.Settings(epochs=4, dim=8, rate=0.1, holdout=0.1)).collect()
+    assert {r.k: r.error for r in out if r.error} == {"c": "the text needs at least two different characters", "d": "the text needs at least two different characters"}
+    out = [r for r in out if not r.error]
     assert {r.k for r in out} == {"a", "b"} and len(out) == 8
     last = next(r for r in out if r.k == "a" and r.epoch == 4)
     assert last.held_out is not None and len(last.sample) == 61

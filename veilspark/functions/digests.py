@@ -54,7 +54,7 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
 
 
 def adler32(content: Column) -> Column:
-    """Adler-32 from its closed form over the bytes; for short contents (a sum over an array of bytes)."""
+    """Adler-32 from its closed form over the bytes, on the JVM; for short contents (a sum over an array of bytes). files.adler32 is for long ones."""
     hexed = F.hex(content.cast("binary"))
     n = F.octet_length(content.cast("binary"))
     value = lambda i: F.conv(F.substring(hexed, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
@@ -89,9 +89,11 @@ def file_stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd-HHmm")
 
 
-def integrity(content: Column) -> Column:
-    """Subresource integrity: sha384 in base64."""
-    return F.concat(F.lit("sha384-"), F.base64(F.unhex(F.sha2(content.cast("binary"), 384))))
+def integrity(content: Column, algorithm: str = "sha384") -> Column:
+    """Subresource integrity: the algorithm (sha256, sha384 or sha512) and the digest in base64."""
+    if algorithm not in ("sha256", "sha384", "sha512"):
+        raise ValueError(f"unknown integrity algorithm: {algorithm}")
+    return F.concat(F.lit(f"{algorithm}-"), F.base64(F.unhex(F.sha2(content.cast("binary"), int(algorithm[3:])))))
 
 
 def manifest_line(content: Column, path: Column) -> Column:

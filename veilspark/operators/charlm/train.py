@@ -17,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 from .model import Model, epoch, evaluate, generate
 from .rng import Rng
 
-HISTORY = "epoch int, loss double, held_out double, weights string, sample string"
+HISTORY = "epoch int, loss double, held_out double, weights string, sample string, error string"
 
 
 @dataclass(frozen=True)
@@ -73,15 +73,16 @@ def train_text(text: str, s: Settings) -> list[dict]:
 
 
 def train(df: DataFrame, key: str, text: str, settings: Settings = Settings()) -> DataFrame:
-    """(key, HISTORY): one model a key, from its texts in order; groups whose text is too short give no row."""
+    """(key, HISTORY): one model a key, from its texts in order; a group whose text can't train one has a row with the error and nothing else."""
     s = settings.checked()
 
     def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
         joined = "\n".join(sorted(t for t in pdf[text] if t))
         try:
-            out = pd.DataFrame(train_text(joined, s))
-        except ValueError:
-            out = pd.DataFrame(columns=["epoch", "loss", "held_out", "weights", "sample"])
+            rows = [r | {"error": None} for r in train_text(joined, s)]
+        except ValueError as e:
+            rows = [{"epoch": None, "loss": None, "held_out": None, "weights": None, "sample": None, "error": str(e)}]
+        out = pd.DataFrame(rows, columns=["epoch", "loss", "held_out", "weights", "sample", "error"]).astype({"epoch": "Int32"})
         out.insert(0, key, k[0])
         return out
 

@@ -80,4 +80,4 @@ def _trained(spark, sf_dir):
 
 @query()
 def lm_train(spark, sf_dir):
-    return _trained(spark, sf_dir).select("part", "epoch", F.round("loss", 6).alias("loss"), F.round("held_out", 6).alias("held_out"), "sample")
+    return _trained(spark, sf_dir).select("part", "epoch", F.round("loss", 6).alias("loss"), F.round("held_out", 6).alias("held_out"), "sample", "error")

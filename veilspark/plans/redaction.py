@@ -18,8 +18,9 @@ def _sql(text: str) -> str:
     return re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", text).replace("\u2019", "\\x{2019}").replace("'", "''")
 
 
-def _hits(table: str, key: str, text: str, kind: str, check: str = "true", group: int = 0) -> str:
-    return f"SELECT {key}, n::INT AS idx, m AS text FROM (SELECT {key}, unnest(l) AS m, unnest(range(1, len(l) + 1)) AS n FROM (SELECT {key}, list_filter(regexp_extract_all({text}, '{_sql(D.BY_ID[kind].pattern)}', {group}), lambda m: {check}) AS l FROM {table}))"
+def _hits(table: str, key: str, text: str, kind: str, check: str = "true", group: int = 0, pattern: str | None = None) -> str:
+    found = f"regexp_extract_all({text}, '{_sql(pattern or D.BY_ID[kind].pattern)}', {group})"
+    return f"SELECT {key}, n::INT AS idx, m AS text FROM (SELECT {key}, unnest(l) AS m, unnest(range(1, len(l) + 1)) AS n FROM (SELECT {key}, list_filter({found}, lambda m: {check}) AS l FROM {table}))"
 
 
 def _found(df, key: str, text: Column, kind: str):
@@ -60,7 +61,12 @@ def detect_capnames(spark, sf_dir):
     return _found(load(spark, sf_dir, "documents"), "doc_id", F.col("text"), "capnames")
 
 
-@query()
+# The other engine has no lookaround: the sign before is matched too, and a number that goes on is told by what follows it.
+_SIGNS = f"[{D.WS}.-]"
+_PHONE = rf"(?:^|[^0-9-])((?:\+\d{{1,3}}{_SIGNS}?)?(?:\(\d{{2,4}}\){_SIGNS}?|\d{{2,4}}{_SIGNS})\d{{3,4}}{_SIGNS}?\d{{3,4}})(?:[^0-9-]|$)"
+
+
+@query(f"SELECT doc_id, n::INT AS idx, m AS text FROM (SELECT doc_id, unnest(l) AS m, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '{_sql(_PHONE)}', 1), lambda m: length({_DIGITS}) BETWEEN 10 AND 15) AS l FROM documents))")
 def detect_phone(spark, sf_dir):
     return _found(load(spark, sf_dir, "documents"), "doc_id", F.col("text"), "phone")
 
@@ -116,20 +122,25 @@ def detect_secret(spark, sf_dir):
     return _found(_made(spark, sf_dir), "c_custkey", F.col("t"), "secret")
 
 
-@query(f"SELECT c_custkey, 1 AS idx, s AS text FROM (SELECT c_custkey, regexp_extract(t, 'ssn (\\d{{3}}-\\d\\d-\\d{{4}})', 1) AS s FROM {_MADE}) WHERE substr(s, 1, 3) NOT IN ('000', '666') AND substr(s, 1, 1) <> '9' AND substr(s, 5, 2) <> '00' AND substr(s, 8) <> '0000'")
+@query(_hits(_MADE, "c_custkey", "t", "ssn", "substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 1, 1) <> '9' AND substr(m, 5, 2) <> '00' AND substr(m, 8) <> '0000'", pattern=r"\b\d{3}[- ]\d{2}[- ]\d{4}\b"))
 def detect_ssn(spark, sf_dir):
     return _found(_made(spark, sf_dir), "c_custkey", F.col("t"), "ssn")
 
 
-_IBAN = "(list_reduce(list_transform(string_split(substr(s, 5) || '131400' , ''), lambda c: c::BIGINT), lambda a, c: (a * 10 + c) % 97) * 100 + substr(s, 3, 2)::BIGINT) % 97 = 1"
+#: Letters as two digits, the first four signs last, modulo 97.
+_IBAN = """length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''),
+lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END), ''), ''), lambda c: c::BIGINT), lambda a, c: (a * 10 + c) % 97) = 1"""
 
 
-@query(f"SELECT c_custkey, 1 AS idx, s AS text FROM (SELECT c_custkey, regexp_extract(t, 'iban (DE\\d{{20}})', 1) AS s FROM {_MADE}) WHERE {_IBAN.replace(chr(39) + '131400' + chr(39), chr(39) + '1314' + chr(39))}")
+@query(_hits(_MADE, "c_custkey", "t", "iban", _IBAN))
 def detect_iban(spark, sf_dir):
     return _found(_made(spark, sf_dir), "c_custkey", F.col("t"), "iban")
 
 
-@query(f"SELECT c_custkey, 1 AS idx, regexp_extract(t, 'Acme (?:Holdings LLC|Ltd)') AS text FROM (SELECT c_custkey, t FROM {_MADE}) WHERE c_custkey % 3 <> 2")
+_ORG = D.BY_ID["org"].pattern.replace(r"(?!\w)", "")
+
+
+@query(f"SELECT c_custkey, n::INT AS idx, m AS text FROM (SELECT c_custkey, unnest(l) AS m, unnest(range(1, len(l) + 1)) AS n FROM (SELECT c_custkey, regexp_extract_all(t, '({_sql(_ORG)})(?:\\W|$)', 1) AS l FROM {_MADE}))")
 def detect_org(spark, sf_dir):
     return _found(_made(spark, sf_dir), "c_custkey", F.col("t"), "org")
 
@@ -196,17 +207,17 @@ def redact_block(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", redact.apply(text, redact.detect(text, ["ipv4"]), "block")["text"].alias("text"))
 
 
-_MAPPED = f"""WITH h AS (SELECT conv, unnest(l) AS m, unnest(range(len(l))) AS n FROM (SELECT conv, regexp_extract_all(t, '{_EMAIL}') AS l FROM (SELECT doc_id % 50 AS conv, string_agg(text, ' ' ORDER BY doc_id) AS t FROM documents GROUP BY 1))),
-f AS (SELECT conv, lower(m) AS k, min(n) AS first, arg_min(m, n) AS original FROM h GROUP BY 1, 2)
-SELECT conv, 'email' AS type, 'EMAIL-' || row_number() OVER (PARTITION BY conv ORDER BY first) AS token, original FROM f"""
+_MAPPED = f"""WITH h AS (SELECT doc_id, unnest(l) AS m, unnest(range(len(l))) AS n FROM (SELECT doc_id, regexp_extract_all(text || ' ' || upper(text), '{_EMAIL}') AS l FROM documents)),
+f AS (SELECT doc_id, lower(m) AS k, min(n) AS first, arg_min(m, n) AS original FROM h GROUP BY 1, 2)
+SELECT doc_id, 'email' AS type, 'EMAIL-' || row_number() OVER (PARTITION BY doc_id ORDER BY first) AS token, original FROM f"""
 
 
 @query(_MAPPED)
 def redact_mapping(spark, sf_dir):
-    joined = load(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 50).alias("conv")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("a"))
-    texts = joined.select("conv", F.array_join(F.transform("a", lambda x: x["text"]), " ").alias("t"))
-    applied = texts.select("conv", redact.apply(F.col("t"), redact.detect(F.col("t"), ["email"]), "pseudonym").alias("applied"))
-    return redact.mapping(applied, by=["conv"])
+    """Each document has a mapping of its own; its text once more in upper case must add nothing."""
+    texts = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), F.lit(" "), F.upper("text")).alias("t"))
+    applied = texts.select("doc_id", redact.apply(F.col("t"), redact.detect(F.col("t"), ["email"]), "pseudonym").alias("applied"))
+    return redact.mapping(applied, by=["doc_id"])
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}'))::INT AS n_found, len(list_filter(regexp_extract_all(text, '{_EMAIL}'), lambda m: NOT contains(m, '.net')))::INT AS n_kept FROM documents")
@@ -222,7 +233,7 @@ def check_functions(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", checks.luhn(digits).alias("luhn"), checks.aba(digits).alias("aba"))
 
 
-@query(f"SELECT c_custkey, {_IBAN.replace(chr(39) + '131400' + chr(39), chr(39) + '1314' + chr(39))} AS iban FROM (SELECT c_custkey, 'DE' || lpad((c_custkey % 100)::VARCHAR, 2, '0') || '37040044' || lpad(c_custkey::VARCHAR, 10, '0') AS s FROM customer)")
+@query(f"SELECT c_custkey, {_IBAN} AS iban FROM (SELECT c_custkey, 'DE' || lpad((c_custkey % 100)::VARCHAR, 2, '0') || '37040044' || lpad(c_custkey::VARCHAR, 10, '0') AS m FROM customer)")
 def check_iban(spark, sf_dir):
     k = F.col("c_custkey")
     s = F.concat(F.lit("de"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit(" 37040044 "), F.lpad(k.cast("string"), 10, "0"))

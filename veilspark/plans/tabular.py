@@ -102,9 +102,14 @@ def finding_headings(spark, sf_dir):
 
 @query("SELECT doc_id, source, coalesce(sum(30 + length('d' || doc_id) + strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS entry_offset FROM documents")
 def archive_offsets(spark, sf_dir):
+    """Prefix sums in two steps: no task holds all entries of a source."""
     size = F.lit(30) + F.length(F.concat(F.lit("d"), F.col("doc_id").cast("string"))) + F.octet_length("text")
-    rows = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return load(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.sum(size).over(rows), F.lit(0)).cast("long").alias("entry_offset"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", size.cast("long").alias("size"), F.floor(F.col("doc_id") / 10_000).alias("part"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    parts = docs.groupBy("source", "part").agg(F.sum("size").alias("size"))
+    parts = parts.select("source", "part", F.coalesce(F.sum("size").over(before("source").orderBy("part")), F.lit(0)).alias("base"))
+    inside = docs.withColumn("own", F.coalesce(F.sum("size").over(before("source", "part").orderBy("doc_id")), F.lit(0)))
+    return inside.join(parts, ["source", "part"]).select("doc_id", "source", (F.col("base") + F.col("own")).alias("entry_offset"))
 
 
 @query("SELECT DISTINCT path, section, name, value FROM (SELECT 'p' || (event_id % 100) AS path, event_type AS section, 'n' || (event_id % 7) AS name, (event_id % 13)::VARCHAR AS value FROM events WHERE event_id % 3 <> 0) EXCEPT SELECT 'p' || (event_id % 100), event_type, 'n' || (event_id % 7), (event_id % 13)::VARCHAR FROM events WHERE event_id % 3 = 0")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,3 +84,13 @@ def cross_check(content: Column) -> Column:
     small = F.when(F.octet_length(content) <= CROSS_CHECK_BYTES, content)
     again = second(small)
     return F.when(again.isNull(), "not run").when(again == digest(content, "sha256"), "matched").otherwise("MISMATCH")
+
+
+def adler32(content: Column) -> Column:
+    """Adler-32 of contents of any length."""
+
+    @pandas_udf("long")
+    def run(contents: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else zlib.adler32(c) for c in contents], dtype="Int64")
+
+    return run(content.cast("binary"))
