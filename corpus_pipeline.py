@@ -3,11 +3,15 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which a driver may write as
 Parquet and read again as the next one's docs. All stages but the last return the columns of documents.
 
-1. language: documents in no learned language go.
-2. near duplicates: one document of each group stays.
-3. decontamination: documents that hold much of a benchmark item go.
-4. personal data: the spans found are replaced by their kind in brackets, and n_chars follows the new text.
-5. packing: the rest becomes token sequences of bounded length, one row a piece.
+1. language: documents in no learned language go, so null and empty texts and those without a letter do.
+2. near duplicates: one row of each group stays, of the group's least id (null only if all ids are null); repeated rows are a
+   group. Texts without words are no copies of anything and all stay.
+3. decontamination: documents that hold much of a benchmark item go; null and empty texts stay.
+4. personal data: the spans found are replaced by their kind in brackets, and n_chars follows the new text; a null text stays
+   null with its n_chars.
+5. packing: the rest becomes token sequences of bounded length, one row a piece; a null or empty text is its end sign alone.
+
+A stage takes a table without rows, and one with further columns of any name, which it hands on (all but the last).
 """
 
 from __future__ import annotations
