@@ -208,8 +208,8 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     df = files.read(spark, str(tmp_path), "*.bin")
     built_in = {r.path.rsplit("/", 1)[1]: r.hashes for r in files.hash_files(df).collect()}
-    paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.bin", "b.bin", "none")], "path string")
-    blocks = {r.path.rsplit("/", 1)[1]: r for r in files.hash_mounted(paths).collect()}
+    paths = spark.createDataFrame([(u,) for n in ("a.bin", "b.bin", "none") for u in (str(tmp_path / n), f"file:{tmp_path}/{n}", f"file://{tmp_path}/{n}")], "path string")
+    blocks = {r.path.rsplit("/", 1)[1]: r for r in files.hash_streams(paths).collect()}
     assert blocks["a.bin"].hashes == built_in["a.bin"] and blocks["none"].error and "b.bin" not in built_in  # the reader skips empty files
     assert blocks["b.bin"].hashes["md5"] == "d41d8cd98f00b204e9800998ecf8427e"
     assert files.fold_blocks([b"ab", b"c"], ["md5"]) == {"md5": "900150983cd24fb0d6963f7d28e17f72"}

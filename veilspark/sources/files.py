@@ -17,7 +17,7 @@ CROSS_CHECK_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
-    """path, modificationTime, length, content of every file; Spark's reader skips empty files (hash_mounted doesn't)."""
+    """path, modificationTime, length, content of every file; Spark's reader skips empty files (hash_streams does not)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
@@ -56,22 +56,32 @@ def fold_blocks(blocks, algorithms=ALGORITHMS) -> dict[str, str]:
     return {a: s.hexdigest() for a, s in states.items()}
 
 
-def hash_mounted(paths: DataFrame, path: str = "path", algorithms=ALGORITHMS) -> DataFrame:
-    """(path, hashes, error) of files beyond the 2 GB that a value holds, read in blocks from a file system that all executors mount."""
+def open_stream(path: str):
+    """A file as a stream of bytes: a plain path or a file: URI from a mount, other URIs (hdfs, s3, gs ..) from their own file system."""
+    if "://" not in path and not path.startswith("file:"):
+        return open(path, "rb")
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+    return system.open_input_stream(inside)
+
+
+def hash_streams(paths: DataFrame, path: str = "path", algorithms=ALGORITHMS) -> DataFrame:
+    """(path, hashes, error) of files beyond the 2 GB that a value holds, read in blocks from where they are, never whole."""
     chosen = tuple(algorithms)
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for p in pdf[path]:
+            for p in pdf["path"]:
                 try:
-                    with open(p, "rb") as f:
+                    with open_stream(p) as f:
                         rows.append((p, fold_blocks(iter(lambda: f.read(CHUNK), b""), chosen), None))
-                except OSError as e:
+                except (OSError, ValueError) as e:
                     rows.append((p, {}, str(e)))
             yield pd.DataFrame(rows, columns=["path", "hashes", "error"])
 
-    return paths.select(path).mapInPandas(run, "path string, hashes map<string,string>, error string")
+    return paths.select(F.col(path).alias("path")).mapInPandas(run, "path string, hashes map<string,string>, error string")
 
 
 def cross_check(content: Column) -> Column:
