@@ -37,12 +37,40 @@ PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
 LETTER = regex.compile(r"\p{L}")
 
 
-def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where keys stand, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+class Places:
+    """Where keys stand in an array of distinct ones: open addressing, half full at most."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        waiting, at = np.arange(len(keys)), self._first(keys)
+        while len(waiting):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = waiting[free]  # where several want a slot, the last one has it
+            lost = self.slots[at] != waiting
+            waiting, at = waiting[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places, -1 for what isn't there."""
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return out
+        at = self._first(keys)
+        found = self.slots[at].astype(np.int64)
+        waiting = np.flatnonzero(found >= 0)
+        at, found = at[waiting], found[waiting]
+        while len(waiting):
+            hit = self.keys[found] == keys[waiting]
+            out[waiting[hit]] = found[hit]
+            waiting, at = waiting[~hit], (at[~hit] + 1) & (len(self.slots) - 1)
+            found = self.slots[at].astype(np.int64)
+            on = found >= 0
+            waiting, at, found = waiting[on], at[on], found[on]
+        return out
 
 
 class Order:
@@ -95,7 +123,8 @@ class Model:
                 counts[np.searchsorted(grams, g), j] = n
             self.orders.append(Order(grams, counts, self.size, self.orders[-1] if order else None, order))
         for o in self.orders:
-            del o.p
+            o.grams_at, o.contexts_at = Places(o.grams), Places(o.contexts)
+            del o.p, o.grams, o.contexts
 
     def _grams(self, texts: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
         codes = [np.zeros(0, np.int64)]
@@ -121,11 +150,11 @@ class Model:
             context = np.zeros(len(at), np.int64)
             for k in range(1, o + 1):
                 context += x[at - k] * self.size ** (k - 1)
-            found = _places(table.grams, context * self.size + x[at])
+            found = table.grams_at.find(context * self.size + x[at])
             hit = found >= 0
             bits[at[hit]] += table.cost[found[hit]]
             missed = at[~hit]
-            inside = _places(table.contexts, context[~hit])
+            inside = table.contexts_at.find(context[~hit])
             known = inside >= 0
             bits[missed[known]] += table.escape[inside[known]]
             waiting = np.sort(np.concatenate([waiting[~long], missed]))
