@@ -179,6 +179,77 @@ def test_long_pages_are_whole(spark):
     assert {r.text for r in extract.extract(df).collect()} == {want}
 
 
+def plain_spans(rows):
+    """Bootstrapped extraction without Spark: (row, kind, start, end) that contexts add to the base spans."""
+    import math
+    import re
+    from collections import defaultdict
+
+    from veilspark.llm import pii
+
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    forms = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[\x20-]?[0-9]){15,}", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "candidate": r"(?<!\S)[^\s0-9@]*[0-9@]\S*",
+    }
+    base, loose = [], []
+    for row, text in enumerate(rows):
+        good = {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute.pii_base(text).split(",") if x)}
+        for kind, form in forms.items():
+            last = 0
+            for m in re.finditer(form, text or "", re.A):
+                words = re.search(r"(?:\S+\s+)?\S+\s*\Z", text[last : m.start()], re.A)
+                before, last = words[0] if words else "", m.end()
+                if kind != "candidate":
+                    if (kind, *m.span()) in good:
+                        base.append((row, kind, *m.span(), m[0], before))
+                    continue
+                lead = re.match("[^A-Za-z0-9+@]*", m[0]).end()
+                core = re.sub("[^A-Za-z0-9]+\\Z", "", m[0][lead:])
+                a, b = m.start() + lead, m.start() + lead + len(core)
+                if (len(digits(core)) >= 4 or "@" in core) and not any(a < z and s < b for _, s, z in good):
+                    loose.append((row, a, b, core, before))
+    instance = lambda s: re.sub(r"[\s().-]", "", s, flags=re.A).lower()
+
+    def patterns(before):
+        low = before.rstrip(" ").lower()
+        one, two = re.search(r"(\S+)$", low, re.A), re.search(r"(?:^|\s)(\S+\s+\S+)$", low, re.A)
+        return [p for p in (one and "1:" + one[1], two and "2:" + two[1]) if p]
+
+    edges = {(p, instance(f)) for *_, f, before in [*base, *loose] for p in patterns(before)}
+    total = defaultdict(set)
+    for p, i in edges:
+        total[p].add(i)
+    known = {(instance(f), kind) for _, kind, _, _, f, _ in base}
+    for _ in range(pii.ROUNDS):
+        strong = []
+        for p, have in total.items():
+            for kind in pii.KINDS:
+                hits = sum((i, kind) in known for i in have)
+                if len(have) >= pii.SUPPORT and hits >= pii.SUPPORT and hits / len(have) >= pii.CONFIDENCE:
+                    strong.append((p, kind, hits / len(have)))
+        miss = defaultdict(float)
+        for p, kind, score in strong:
+            for i in total[p]:
+                miss[i, kind] += math.log1p(-min(score, 0.999999))
+        known |= {x for x, m in miss.items() if 1 - math.exp(m) >= pii.KNOWN}
+    kinds = {}
+    for i, kind in known:
+        kinds[i] = min(kinds.get(i, kind), kind, key=pii.KINDS.index)
+    return {(row, kinds[instance(f)], a, b) for row, a, b, f, _ in loose if instance(f) in kinds}
+
+
+def test_personal_data_against_a_plain_version(spark):
+    from veilspark.llm import pii
+
+    r = random.Random(12)
+    shapes = ["call me: +1 409 555 {n}", "call me: 0409-555-777", "call me: (0409) 888-1", "write to u{n}@mail.test", "host at 10.0.0.{k}", "host at gw-1001x", "card no 4111 1111 1111 1111", "room {n}", "fax: +49 30 {n}{n}", "fax: 030/{n}{n} ok", "id ({n}-{n})", "see u@{n}", "at\n{n}."]
+    rows = [" ".join(r.choice(shapes).format(n=r.randint(1000, 1040), k=r.randint(1, 60)) + r.choice([" ", " and ", "\n", ". "]) for _ in range(r.randint(0, 6))) for _ in range(250)] + [None, ""]
+    want = plain_spans(rows)
+    out = pii.find(spark.createDataFrame(list(enumerate(rows)), "row long, text string").repartition(3)).collect()
+    got = {(x.doc.row, s.kind, s.start, s.end) for x in out for s in set(x.spans) - set(x.base)}
+    assert got == want and len(want) > 20 and {"phone"} <= {k for _, k, _, _ in want}
+
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
