@@ -28,6 +28,8 @@ from .common import Scratch, released, slices, utf8
 from .decontaminate import _arrow
 
 LENGTH, OPEN, MIN_CUT, MERGED, END = 2048, 64, 16, 16, 1
+#: Bytes of text that are tokenized at once.
+STEP = 1 << 19
 FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _encoders: dict[str, object] = {}
 
@@ -129,7 +131,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", length: int =
         for batch in batches:
             doc = batch.column(0)
             data, offsets = utf8(batch.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, STEP):
                 ids, at = encoder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for row in range(lo, hi):
                     packer.add(doc.slice(row, 1), np.concatenate([ids[at[row - lo] : at[row - lo + 1]], end]))

@@ -16,7 +16,8 @@ import numpy as np
 from .common import distinct_spans
 
 LETTER, NUMBER, SPACE, OTHER, ODD = 1, 2, 3, 0, 4
-CACHE_ENTRIES = 800_000
+#: Pre-tokens of a generation of the cache; there are two.
+CACHE_ENTRIES = 100_000
 _SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: np.ndarray | None = None
 #: Byte-level vocabularies write each byte as a printable character: itself where it is one, else the next from U+0100.
@@ -83,10 +84,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merged(self, token: bytes) -> bytes:
+        """The ids of a pre-token. A full cache becomes the older one: what is in use moves back, the rest goes with the next."""
+        found = self.cache.get(token)
+        if found is None:
+            found = self.older.get(token)
+            if found is None:
+                found = np.array([x.id for x in self.tokenizer.model.tokenize(token.decode("latin-1").translate(BYTE_CHARACTERS))], "<u4").tobytes()
+            if len(self.cache) >= CACHE_ENTRIES:
+                self.older, self.cache = self.cache, {}
+            self.cache[token] = found
+        return found
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in data, and each text's first id (n + 1 offsets)."""
         raw = data.tobytes()
@@ -102,15 +116,8 @@ class Encoder:
         hi = np.append(lo[1:], len(data))
         where, which = distinct_spans(data, lo, hi)
         tokens = [raw[a:b] for a, b in zip(lo[where].tolist(), hi[where].tolist())]
-        new = [t for t in tokens if t not in self.cache]
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache.clear()
-            new = tokens
-        if new:
-            merge = self.tokenizer.model.tokenize
-            for t in new:
-                self.cache[t] = np.array([x.id for x in merge(t.decode("latin-1").translate(BYTE_CHARACTERS))], "<u4").tobytes()
-        parts = [self.cache[t] for t in tokens]
+        get, merged = self.cache.get, self._merged
+        parts = [get(t) or merged(t) for t in tokens]
         sizes = np.array([len(p) // 4 for p in parts], np.int64)
         flat = np.frombuffer(b"".join(parts), "<u4")
         begin = np.cumsum(sizes) - sizes
