@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes and rows that one numpy step works on; they bound a worker's memory.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
+#: Rows of a batch that goes to Python while a table is written to the scratch folder.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 class Scratch:
@@ -34,11 +36,20 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/veilspark-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and reads it back: the lineage ends here."""
+        """Writes df and reads it back: the lineage ends here.
+
+        Rows go to Python and back in smaller batches meanwhile, as texts may be long. Snappy, as most of these tables are hashes
+        and the native buffers of stronger codecs stay with each thread that has written.
+        """
         self.made += 1
         path = f"{self.root}/{name}-{self.made}"
         self.paths[path] = self.made
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(BATCH)
+        try:
+            self.spark.conf.set(BATCH, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+            df.write.option("compression", "snappy").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, since: int, *kept: str) -> None:
