@@ -113,6 +113,11 @@ def can_link(n: Column, s: Column, m: Column, t: Column) -> Column:
     return 100 * both >= THRESHOLD * (n + m - both)
 
 
+def listed(rows: np.ndarray) -> pa.Array:
+    """Rows of one width as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
+
+
 def _node_ids(hashes: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
     """128 bits of each non-empty set's digest, in two columns."""
     first = at[:-1][np.diff(at) > 0]
@@ -192,10 +197,10 @@ def shared_counts(docs: DataFrame, text: str, salt: int, shingles: int) -> DataF
 
 
 def signatures(docs: DataFrame, key: str, text: str, salt: int = 0) -> DataFrame:
-    """key, t1, t2 (of the text), n, node (null for the empty set), rest (of the digest), bands, s0, s1 .."""
+    """key, t1, t2 (of the text), n, node (null for the empty set), rest (of the digest), bands, sketch (WORDS of 64 bits)."""
     t = F.col(f"`{text}`")
     state = docs.select(F.col(f"`{key}`").alias("key"), *_text_keys(t), t.alias("t"))
-    extra = T._parse_datatype_string("n long, node long, rest long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS)))
+    extra = T._parse_datatype_string("n long, node long, rest long, bands array<long>, sketch array<long>")
     schema = T.StructType([*state.schema.fields[:3], *extra.fields])
     arrow = _arrow(schema)
 
@@ -212,8 +217,7 @@ def signatures(docs: DataFrame, key: str, text: str, salt: int = 0) -> DataFrame
                 place = np.full(hi - lo, -1)
                 place[full] = np.arange(len(full))
                 nulls = pa.array(place, pa.int64(), mask=place < 0)
-                values = [*(pa.array(d) for d in np.ascontiguousarray(digest.T)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))]
-                values += [pa.array(s) for s in np.ascontiguousarray(odd_sketches(sampled).view("<i8").T)]
+                values = [*(pa.array(d) for d in np.ascontiguousarray(digest.T)), listed(bands.view(np.int64)), listed(odd_sketches(sampled).view("<i8"))]
                 columns = [*(c.slice(lo, hi - lo) for c in batch.columns[:3]), pa.array(n), *(v.take(nulls) for v in values)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
@@ -273,7 +277,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return kept.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "comp").alias("comp")).distinct()
 
 
-def in_blocks(state: DataFrame) -> DataFrame:
+def in_blocks(state: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows (band, node, comp, ...) of bands with several components, for each pair of blocks (x, y) that a row is in: see rest_pairs."""
     sizes = state.groupBy("band", "comp").agg(F.count("*").alias("c"), F.sum(8 * F.col("n").cast("long")).alias("b"))
     bands = sizes.groupBy("band").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("b").alias("b"), F.max(F.struct("c", "comp", "b")).alias("top")).where("comps > 1")
@@ -281,7 +285,7 @@ def in_blocks(state: DataFrame) -> DataFrame:
     few = (F.col("c") <= BLOCK) & (F.col("b") <= BLOCK_BYTES)
     nl, nr = blocks(F.col("top.c"), F.col("top.b")), blocks(F.col("c") - F.col("top.c"), F.col("b") - F.col("top.b"))
     bands = bands.select("band", F.col("top.comp").alias("largest"), F.when(few, 1).otherwise(nl).alias("nl"), F.when(few, 1).otherwise(nr).alias("nr"))
-    rows = state.join(bands, "band").withColumn("large", F.col("comp") == F.col("largest"))
+    rows = state.join(scratch.keep(bands, "bands"), "band").withColumn("large", F.col("comp") == F.col("largest"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("nl")).otherwise(F.col("nr"))).cast("int")
     rows = rows.withColumn("own", own)
     pair = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
@@ -337,11 +341,10 @@ def by_group(batches):
 CANDIDATES = "band long, x int, y int, node long, pairs binary"
 
 
-def candidates(state: DataFrame, nodes: DataFrame) -> DataFrame:
+def candidates(state: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """For each group (band, x, y) with pairs of different components that no bound or sketch excludes: a row for each of their nodes, and one with all those pairs."""
-    sketch = [f"s{i}" for i in range(WORDS)]
-    rows = in_blocks(state).join(nodes.select("node", "bands", *sketch), "node")
-    rows = rows.select("band", "x", "y", "large", "own", "node", "comp", "n", "s", "bands", *sketch)
+    rows = in_blocks(state, scratch).join(nodes.select("node", "bands", "sketch"), "node")
+    rows = rows.select("band", "x", "y", "large", "own", "node", "comp", "n", "s", "bands", "sketch")
     rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
 
     def run(batches):
@@ -352,9 +355,8 @@ def candidates(state: DataFrame, nodes: DataFrame) -> DataFrame:
             for k in (band, x, y):
                 new[1:] |= k[1:] != k[:-1]
             group = np.cumsum(new)
-            listed = table.column("bands").chunk(0).flatten().to_numpy().reshape(-1, BANDS)
-            bits = np.stack([get(c).view(np.uint64) for c in sketch], 1)
-            a, b = rest_pairs(group, x, get("large"), get("own"), get("comp"), get("n"), get("s"), band, listed, bits)
+            bands, bits = (table.column(c).chunk(0).flatten().to_numpy().reshape(-1, w) for c, w in (("bands", BANDS), ("sketch", WORDS)))
+            a, b = rest_pairs(group, x, get("large"), get("own"), get("comp"), get("n"), get("s"), band, bands, bits.view(np.uint64))
             by = np.argsort(group[a], kind="stable")
             a, b = a[by], b[by]
             out = []
@@ -420,11 +422,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Sc
     """
     scratch = scratch or Scratch(docs.sparkSession)
     before = scratch.made
-    sketch = [f"s{i}" for i in range(WORDS)]
     salt = 0
     while True:
         sig = scratch.keep(signatures(docs, key, text, salt), "signatures")
-        nodes = sig.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("t1", "t2", "n", "bands", *sketch)], (F.min("rest") < F.max("rest")).alias("clash"))
+        nodes = sig.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("t1", "t2", "n", "bands", "sketch")], (F.min("rest") < F.max("rest")).alias("clash"))
         nodes = scratch.keep(nodes, "nodes")
         if nodes.where("clash").isEmpty():
             break
@@ -435,10 +436,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Sc
     # A node with too many shingles of its own can have no link, and isn't banded.
     members = nodes.select("node", "n", "bands").join(bounds, "node").where(100 * F.col("s") >= THRESHOLD * F.col("n"))
     members = members.select("node", *[F.col(c).cast("int") for c in size], F.explode("bands").alias("band"))
+    members = scratch.keep(members, "members")
     hubs = members.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct("node", *size)).alias("p")).where("c > 1")
+    # What is known of each band is a table of its own, so that a join with it can split a hot band.
+    hubs = scratch.keep(hubs.select("band", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps")), "hubs")
     # The hub of a band meets all its members here, and needs no further place in it.
-    active = scratch.keep(members.join(hubs.select("band", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps")), "band").where("node <> p"), "members")
-    small = nodes.select("node", *sketch)
+    active = scratch.keep(members.join(hubs, "band").where("node <> p"), "active")
+    small = nodes.select("node", "sketch")
     links = sets = labels = None
 
     def with_sets(asked: DataFrame) -> None:
@@ -462,7 +466,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Sc
             linked(confirmed(pairs, sets))
 
     def sketched(pairs: DataFrame) -> DataFrame:
-        near = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in sketch) <= most_bits()
+        differ = F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+        near = differ <= most_bits()
         return pairs.join(small.alias("b"), F.col("v") == F.col("b.node")).join(small.alias("a"), F.col("u") == F.col("a.node")).where(near).select("u", "v")
 
     def labelled() -> DataFrame:
@@ -471,25 +476,34 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Sc
             return active.withColumn("comp", F.col("node"))
         return active.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    linkable = can_link(F.col("n"), F.col("s"), F.col("pn"), F.col("ps"))
-    tested(sketched(active.where(linkable).select(F.col("p").alias("u"), F.col("node").alias("v")).distinct()))
-    active = active.select("band", "node", *size)
-    # Members outside a band's largest component meet two of its nodes, which differ from band to band: a group of near copies
-    # of which some missed the least node comes together here.
-    state = labelled()
-    several = state.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    active = state = scratch.keep(state.join(several, "band").select("band", "node", *size, "comp"), "state")
-    largest = state.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("pc"))
-    state = scratch.keep(state.join(largest, "band"), "state")
-    spread = F.struct(F.xxhash64("node", "band").alias("h"), "node", *size)
-    both = state.where("comp = pc").groupBy("band").agg(F.array(F.min(spread), F.max(spread)).alias("r"))
-    tests = state.where("comp <> pc").join(both, "band").select("node", *size, F.explode("r").alias("r")).where(can_link(F.col("n"), F.col("s"), F.col("r.n"), F.col("r.s")))
-    tested(sketched(tests.select(F.least("node", "r.node").alias("u"), F.greatest("node", "r.node").alias("v")).distinct()))
-    active = active.drop("comp")
-    listed = scratch.keep(candidates(scratch.keep(labelled(), "rest"), nodes), "candidates")
-    if not listed.isEmpty():
-        with_sets(listed.where("node is not null").select("node").distinct())
-        linked(confirmed_in_groups(listed, sets))
+    def rounds() -> None:
+        """Both rounds and the blocks; nothing more is done once no band holds several components."""
+        nonlocal active
+        if active.isEmpty():
+            return
+        linkable = can_link(F.col("n"), F.col("s"), F.col("pn"), F.col("ps"))
+        tested(sketched(active.where(linkable).select(F.col("p").alias("u"), F.col("node").alias("v")).distinct()))
+        active = active.select("band", "node", *size)
+        # Members outside a band's largest component meet two of its nodes, which differ from band to band: a group of near
+        # copies of which some missed the least node comes together here.
+        state = scratch.keep(labelled(), "labelled")
+        sizes = state.groupBy("band", "comp").agg(F.count("*").alias("c"))
+        several = sizes.groupBy("band").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("pc")).where("comps > 1").select("band", "pc")
+        several = scratch.keep(several, "several")
+        if several.isEmpty():
+            return
+        state = scratch.keep(state.join(several, "band"), "state")
+        active = state.select("band", "node", *size)
+        spread = F.struct(F.xxhash64("node", "band").alias("h"), "node", *size)
+        both = scratch.keep(state.where("comp = pc").groupBy("band").agg(F.array(F.min(spread), F.max(spread)).alias("r")), "pairs_of")
+        tests = state.where("comp <> pc").join(both, "band").select("node", *size, F.explode("r").alias("r")).where(can_link(F.col("n"), F.col("s"), F.col("r.n"), F.col("r.s")))
+        tested(sketched(tests.select(F.least("node", "r.node").alias("u"), F.greatest("node", "r.node").alias("v")).distinct()))
+        listed = scratch.keep(candidates(scratch.keep(labelled(), "rest"), nodes, scratch), "candidates")
+        if not listed.isEmpty():
+            with_sets(listed.where("node is not null").select("node").distinct())
+            linked(confirmed_in_groups(listed, sets))
+
+    rounds()
     if links is not None:
         labels = components(links, scratch)
     least = sig.where("n > 0").groupBy("node").agg(F.min("key").alias("least"))
