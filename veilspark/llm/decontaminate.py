@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from .common import Scratch, mix, released, slices, span_hash, utf8, word_spans
+from .common import Scratch, mix, slices, span_hash, utf8, word_spans
 
 WINDOW, BLOCK = 13, 3
 #: Contaminated: at least one word in SHARE is hit.
@@ -161,23 +162,26 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _pass(groups: list[Group], text_at: int, schema: pa.Schema):
-    def run(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(text_at))
-            n_words = np.zeros(batch.num_rows, np.int64)
-            old_spans, old_items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            new_spans, new_items = [], []
-            for lo, hi in slices(offsets):
-                n_words[lo:hi], spans, items = scan(groups, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for row, s, i in zip(range(lo, hi), spans, items):
-                    s = s + [(a["start"], a["end"] - a["start"]) for a in old_spans[row] or []]
-                    new_spans.append([{"start": a, "end": b} for a, b in merged(s)])
-                    new_items.append(sorted(i | set(old_items[row] or [])))
-            columns = [*batch.columns[:-3], pa.array(n_words), pa.array(new_spans, schema.field("spans").type), pa.array(new_items, schema.field("item_ids").type)]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+FOUND = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,item_ids:array<string>>"
 
-    return run
+
+def _pass(groups: list[Group]):
+    """A function of texts, and of the spans and items that earlier blocks of patterns found."""
+
+    @arrow_udf(FOUND)
+    def run(texts: pa.Array, old_spans: pa.Array, old_items: pa.Array) -> pa.Array:
+        n_words, new_spans, new_items = np.zeros(len(texts), np.int64), [], []
+        data, offsets = utf8(texts)
+        for lo, hi in slices(offsets):
+            n_words[lo:hi], spans, items = scan(groups, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            for row, s, i in zip(range(lo, hi), spans, items):
+                s = s + [(a["start"], a["end"] - a["start"]) for a in old_spans[row].as_py() or []]
+                new_spans.append([{"start": a, "end": b} for a, b in merged(s)])
+                new_items.append(sorted(i | set(old_items[row].as_py() or [])))
+        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(new_spans, pa.list_(span)), pa.array(new_items, pa.list_(pa.string()))], ["n_words", "spans", "item_ids"])
+
+    return run.asNondeterministic()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -188,18 +192,18 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("t")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("i")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // PATTERN_BYTES))
-    rest = "n_words long, spans array<struct<start:long,end:long>>, item_ids array<string>"
-    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("t"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(rest).fields])
-    out_schema = state.schema
-    arrow = _arrow(out_schema)
+    nothing = F.lit(None)
+    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), nothing.cast(FOUND).alias("found"))
     passes = Scratch(docs.sparkSession) if blocks > 1 else None
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         groups = compile_patterns([(r["i"], r["t"]) for r in part.collect()])
-        state = state.mapInArrow(released(_pass(groups, 1, arrow)), out_schema)
+        # Only texts and what was found go to Python; rows wait for the results on the JVM.
+        state = state.select("doc", _pass(groups)(F.col("doc").getField(text), F.col("found.spans"), F.col("found.item_ids")).alias("found"))
         if b + 1 < blocks:
             state = passes.keep(state, "pass")
             passes.drop(0, "pass")  # the one before has been read
+    state = state.select("doc", "found.*")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return state.select(
         "doc", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans"

@@ -26,15 +26,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from .common import released, slices, thinned, utf8
+from .common import slices, thinned, utf8
 
 ORDER = 3
 #: Bytes of text that are scored at once.
 STEP = 1 << 18
 PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
 LETTER = regex.compile(r"\p{L}")
+ASCII_LETTER = np.zeros(256, bool)
+ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
 
 
 class Places:
@@ -207,30 +209,28 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs' columns under ``doc`` (a struct), and lang_pred, score."""
-    from .decontaminate import _arrow
-
+    """docs' columns under ``doc`` (a struct), and lang_pred, score. Only texts go to Python, and only results come back."""
     frozen = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was counted on
-    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("t"))
-    schema = T.StructType([state.schema["doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    arrow = _arrow(schema)
 
-    def run(batches):
+    @arrow_udf("struct<lang_pred:string,score:double>")
+    def run(texts: pa.Array) -> pa.Array:
         model = frozen.value
         names = np.array(model.languages, object)
-        for batch in batches:
-            column = batch.column(1)
-            data, offsets = utf8(column)
-            pred, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
-            if len(names):
-                for lo, hi in slices(offsets, STEP):
-                    best, p = model.predict(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    pred[lo:hi], score[lo:hi] = names[best], p
-                none = [t is None or not LETTER.search(t) for t in column.to_pylist()]
-                pred[none], score[none] = "und", 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field("doc").type), pa.array(pred, pa.string()), pa.array(score)], schema=arrow)
-
-    return state.mapInArrow(released(run), schema)
+        pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+        if len(names):
+            data, offsets = utf8(texts)
+            for lo, hi in slices(offsets, STEP):
+                own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                best, p = model.predict(own, at)
+                pred[lo:hi], score[lo:hi] = names[best], p
+                letters = np.concatenate([[0], np.cumsum(ASCII_LETTER[own])])
+                for i in lo + np.flatnonzero(letters[at[1:]] == letters[at[:-1]]):
+                    if not LETTER.search(texts[int(i)].as_py() or ""):
+                        pred[i], score[i] = "und", 0
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), run.asNondeterministic()(F.col(f"`{text}`")).alias("r"))
+    return found.select("doc", "r.lang_pred", "r.score")
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -20,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from .common import released, slices, thinned, utf8
-from .decontaminate import _arrow
+from .common import slices, thinned, utf8
 
 FILTERS, KERNEL, CHUNK, OVERLAP = 16, 6, 1024, 128
 SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, RATE = 1500, 20_000, 12, 64, 0.02
@@ -141,18 +140,15 @@ def score(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
     """docs' columns but the text under ``doc``, and score."""
     frozen = docs.sparkSession.sparkContext.broadcast(network)  # of fixed size
     names = [c for c in docs.columns if c != text]
-    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{text}`").alias("t"))
-    schema = T.StructType([state.schema["doc"], T.StructField("score", T.DoubleType())])
-    arrow = _arrow(schema)
 
-    def run(batches):
+    @arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
         net = frozen.value
         tables = net.tables()
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            out = np.empty(batch.num_rows)
-            for lo, hi in slices(offsets):
-                out[lo:hi] = net.score(*chunked(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field("doc").type), pa.array(out)], schema=arrow)
-
-    return state.mapInArrow(released(run), schema)
+        data, offsets = utf8(texts)
+        out = np.empty(len(texts))
+        for lo, hi in slices(offsets):
+            out[lo:hi] = net.score(*chunked(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), tables)
+        return pa.array(out)
+
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), run.asNondeterministic()(F.col(f"`{text}`")).alias("score"))
