@@ -24,18 +24,29 @@ from veilspark.llm.common import Scratch
 from veilspark.llm.queries import language_model, read
 
 ORACLE_SQL = None
+#: Rows of a batch that goes to Python: whole texts travel, and some are long.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, which from now on sends at most BATCH_ROWS rows to Python at once: a stage's plan runs after its function has returned."""
+    rows = int(spark.conf.get(BATCH))
+    spark.conf.set(BATCH, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
+    return spark
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return langid.keep_identified(docs, language_model(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, read(bounded(spark), sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bounded(spark)
     found = packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select(F.col("doc.doc_id").alias("doc_id"), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
