@@ -273,8 +273,9 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     for c in ("u", "v"):
         links = links.join(labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}c")), c, "left").withColumn(f"{c}c", F.coalesce(f"{c}c", c))
     moved = nearest(links.where("uc <> vc").select(F.col("uc").alias("u"), F.col("vc").alias("v"))).select(F.col("node").alias("old"), F.col("comp").alias("new"))
-    kept = labels.join(moved, labels.comp == moved.old, "full_outer")
-    return kept.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "comp").alias("comp")).distinct()
+    kept = labels.join(moved, labels.comp == moved.old, "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    fresh = moved.join(labels, labels.node == moved.old, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("comp"))
+    return kept.unionAll(fresh).distinct()
 
 
 def in_blocks(state: DataFrame, scratch: Scratch) -> DataFrame:
@@ -508,8 +509,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Sc
         labels = components(links, scratch)
     least = sig.where("n > 0").groupBy("node").agg(F.min("key").alias("least"))
     if labels is not None:
-        least = least.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        by = least.groupBy("comp").agg(F.min("least").alias("g"))
+        least = scratch.keep(least.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "least")
+        by = scratch.keep(least.groupBy("comp").agg(F.min("least").alias("g")), "by")
         least = least.join(by, "comp").select("node", "comp", F.col("g").alias("least"))
     else:
         least = least.withColumn("comp", F.col("node"))
