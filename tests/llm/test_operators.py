@@ -465,7 +465,7 @@ def test_texts_of_simple_structure_differ(spark):
 
 
 def test_equal_hashes_are_compared_by_bytes(monkeypatch):
-    monkeypatch.setattr(common, "span_hash", lambda data, start, end: np.zeros(len(start), np.uint64))
+    monkeypatch.setattr(common, "block_hash", lambda block, turn, first, size: np.zeros(len(first), np.uint64))
     data = np.frombuffer(b"one two one three tw", np.uint8)
     start, end = np.array([0, 4, 8, 12, 18]), np.array([3, 7, 11, 17, 20])
     where, which = common.distinct_spans(data, start, end)

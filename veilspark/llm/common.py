@@ -116,33 +116,37 @@ def span_blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     return wide(data)[at] & _HEAD[np.minimum(np.repeat(end, count) - at, 8)], turn, last - count
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of non-empty spans data[start:end].
+def block_hash(block: np.ndarray, turn: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans by their blocks.
 
     Each block of 8 bytes is mixed with its place before blocks are added up. (A polynomial in a fixed base modulo 2**64 would
     give equal values to different texts of a simple structure, as to a Thue-Morse word and its complement.)
     """
+    return mix(np.add.reduceat(mix(block + turn.astype(np.uint64) * _PLACE), first) + size.astype(np.uint64))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of non-empty spans data[start:end]."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    block, turn, first = span_blocks(data, start, end)
-    return mix(np.add.reduceat(mix(block + turn.astype(np.uint64) * _PLACE), first) + (end - start).astype(np.uint64))
+    return block_hash(*span_blocks(data, start, end), end - start)
 
 
 def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One span of each content (its index), and for every span the number of its content; compared byte by byte."""
-    _, where, which = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
-    if len(start):
-        block, turn, first = span_blocks(data, start, end)
-        one = where[which]
-        count = np.diff(np.append(first, len(block)))
-        same = (end - start)[one] == end - start
-        # Blocks of a longer partner may lie beyond its own; then the sizes differ already.
-        partner = np.minimum(np.repeat(first[one], count) + turn, len(block) - 1)
-        if not (same.all() and (block[partner] == block).all()):  # two contents with one hash
-            known: dict[bytes, int] = {}
-            raw = data.tobytes()
-            which = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist())])
-            where = np.unique(which, return_index=True)[1]
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = end - start
+    block, turn, first = span_blocks(data, start, end)
+    _, where, which = np.unique(block_hash(block, turn, first, size), return_index=True, return_inverse=True)
+    one = where[which]
+    # Blocks of a longer partner may lie beyond its own; then the sizes differ already.
+    partner = np.repeat(first[one], np.diff(np.append(first, len(block)))) + turn
+    if not ((size[one] == size).all() and (block[np.minimum(partner, len(block) - 1)] == block).all()):  # two contents with one hash
+        known: dict[bytes, int] = {}
+        raw = data.tobytes()
+        which = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist())])
+        where = np.unique(which, return_index=True)[1]
     return where, which
 
 

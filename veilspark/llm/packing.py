@@ -29,7 +29,7 @@ from .decontaminate import _arrow
 
 LENGTH, OPEN, MIN_CUT, MERGED, END = 2048, 64, 16, 16, 1
 #: Bytes of text that are tokenized at once.
-STEP = 1 << 19
+STEP = 1 << 20
 FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _encoders: dict[str, object] = {}
 

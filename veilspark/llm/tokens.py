@@ -9,6 +9,7 @@ the basic plane, are encoded whole by the tokenizer. The strings of special toke
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 
 import numpy as np
@@ -17,7 +18,7 @@ from .common import distinct_spans
 
 LETTER, NUMBER, SPACE, OTHER, ODD = 1, 2, 3, 0, 4
 #: Pre-tokens of a generation of the cache; there are two.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 200_000
 _SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: np.ndarray | None = None
 #: Byte-level vocabularies write each byte as a printable character: itself where it is one, else the next from U+0100.
@@ -89,17 +90,21 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merged(self, token: bytes) -> bytes:
-        """The ids of a pre-token. A full cache becomes the older one: what is in use moves back, the rest goes with the next."""
-        found = self.cache.get(token)
-        if found is None:
-            found = self.older.get(token)
+    def _merged(self, tokens: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens. A full cache becomes the older one: what is in use moves back, the rest goes with the next."""
+        cache, older, merge = self.cache, self.older, self.tokenizer.model.tokenize
+        parts = list(map(cache.get, tokens))
+        for i in [i for i, p in enumerate(parts) if p is None]:
+            token = tokens[i]
+            found = older.get(token)
             if found is None:
-                found = np.array([x.id for x in self.tokenizer.model.tokenize(token.decode("latin-1").translate(BYTE_CHARACTERS))], "<u4").tobytes()
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.older, self.cache = self.cache, {}
-            self.cache[token] = found
-        return found
+                ids = [x.id for x in merge(token.decode("latin-1").translate(BYTE_CHARACTERS))]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(cache) >= CACHE_ENTRIES:
+                self.older = older = cache
+                self.cache = cache = {}
+            cache[token] = parts[i] = found
+        return parts
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in data, and each text's first id (n + 1 offsets)."""
@@ -116,8 +121,7 @@ class Encoder:
         hi = np.append(lo[1:], len(data))
         where, which = distinct_spans(data, lo, hi)
         tokens = [raw[a:b] for a, b in zip(lo[where].tolist(), hi[where].tolist())]
-        get, merged = self.cache.get, self._merged
-        parts = [get(t) or merged(t) for t in tokens]
+        parts = self._merged(tokens)
         sizes = np.array([len(p) // 4 for p in parts], np.int64)
         flat = np.frombuffer(b"".join(parts), "<u4")
         begin = np.cumsum(sizes) - sizes
