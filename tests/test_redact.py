@@ -119,3 +119,33 @@ def test_registered_types(spark):
         spans(text, ["case"])
     with pytest.raises(ValueError):
         detectors.register(case, before="nothing")
+
+
+def as_by_sql(spark, path, name, rows):
+    """The rows of a query over these documents (doc_id, text, lang), and those of its SQL."""
+    import duckdb
+
+    from veilspark.plans.registry import ORACLES, QUERIES
+
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    want = duck.sql(ORACLES[name])
+    return sorted((tuple(r[c] for c in want.columns) for r in QUERIES[name](spark, str(path)).collect()), key=str), sorted(want.fetchall(), key=str)
+
+
+def test_phones_beside_each_other_by_sql(spark, tmp_path):
+    """Numbers with one sign between them, and a hit that is too short before another; the phone type itself finds them all."""
+    texts = ["(401)555-0199 (401)555-0188", "401 555 0199,402 555 0199,403 555 0199", "12-555 0199x(401)1234567", "(401)555401+44 01992024", "401 555 0199\n", "401 555 0199\n\n402 555 0199", None, ""]
+    got, want = as_by_sql(spark, tmp_path, "detect_phone", [(i, t, "en") for i, t in enumerate(texts)])
+    assert got == want
+    assert [s["text"] for s in spans(texts[1], ["phone"])] == ["401 555 0199", "402 555 0199", "403 555 0199"]
+
+
+def test_a_detector_stands_in_for_its_type():
+    from dataclasses import replace
+
+    own = replace(detectors.BY_ID["email"], pattern="<([^>]*)>", group=1)
+    assert [(s["type"], s["text"]) for s in spans("a@b.io <x@y> 1.2.3.4", [own, "ipv4"])] == [("email", "x@y"), ("ipv4", "1.2.3.4")]
+    with pytest.raises(ValueError):
+        spans("x", [replace(own, id="nothing")])

@@ -135,14 +135,16 @@ class Chosen:
 
 
 def choose(types=None, terms=()) -> Chosen:
-    """By default the types that are on; unknown ones are an error."""
+    """By default the types that are on; unknown ones are an error. A Detector among the types stands in for the one of its id."""
     known = ordered()
-    enabled = {d.id for d in known if d.on} if types is None else set(types)
+    given = None if types is None else list(types)
+    own = {t.id: t for t in given or () if isinstance(t, Detector)}
+    enabled = {d.id for d in known if d.on} if given is None else {t.id if isinstance(t, Detector) else t for t in given}
     if unknown := enabled - {d.id for d in known}:
         raise ValueError(f"unknown detector: {', '.join(sorted(unknown))}")
     blank = codecs.decode(WS, "unicode_escape")
     kept = sorted((t.strip(blank) for t in terms if t and t.strip(blank)), key=len, reverse=True)
-    return Chosen(tuple(d for d in known if d.id in enabled), tuple(kept))
+    return Chosen(tuple(own.get(d.id, d) for d in known if d.id in enabled), tuple(kept))
 
 
 def compiled(types=None, terms=()) -> list[tuple[Detector, re.Pattern]]:
