@@ -149,3 +149,18 @@ def test_a_detector_stands_in_for_its_type():
     assert [(s["type"], s["text"]) for s in spans("a@b.io <x@y> 1.2.3.4", [own, "ipv4"])] == [("email", "x@y"), ("ipv4", "1.2.3.4")]
     with pytest.raises(ValueError):
         spans("x", [replace(own, id="nothing")])
+
+
+def test_summary_counts_types_apart_by_sql(spark, tmp_path):
+    """A card's hit that reaches into an IP address, one inside an email address, and a null language."""
+    texts = ["ensh 38.211.12.42 4366089147969128 ly", "a 4495589438270767 42.73.240.87 b", "4111111111111111@x.io", "1.2.3.4@x.io me@x.io", "no data", "", None]
+    got, want = as_by_sql(spark, tmp_path, "redaction_summary", [(i, t, ("en", "fr", None)[i % 3]) for i, t in enumerate(texts)])
+    assert got == want
+
+
+def test_types_apart():
+    text = "38.211.12.42 4366089147969128 to 4111111111111111@x.io"
+    assert [s["type"] for s in spans(text, ["card", "email", "ipv4"])] == ["card", "card"]
+    found = spans(text, ["card", "email", "ipv4"], on_overlap="apart")
+    assert [(s["type"], s["text"]) for s in found] == [("ipv4", "38.211.12.42"), ("card", "42 4366089147969128"), ("card", "4111111111111111"), ("email", "4111111111111111@x.io")]
+    assert [s["text"] for s in spans("a.b a", ["custom"], ["a.b", "a"], on_overlap="apart")] == ["a.b", "a"]

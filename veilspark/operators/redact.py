@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from itertools import chain, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from ..functions import detectors as D
 
 SPANS = "array<struct<start:int,end:int,type:string,text:string>>"
 MODES = ("label", "block", "pseudonym")
+OVERLAPS = ("drop", "merge", "apart")
 BLOCK = "█" * 6
 #: A character that a text must have for a detector to find anything; spares most texts most scans.
 _HINT = {"email": "@", "ipv6": ":", "url": "://"}
@@ -27,9 +29,15 @@ _NEEDS_DIGIT = frozenset(("card", "iban", "ssn", "routing", "phone", "ipv4", "da
 
 
 def find_spans(text: str | None, compiled: list[tuple[D.Detector, re.Pattern]], on_overlap: str = "drop") -> list[dict]:
-    """Spans in text order. Types claim in priority order; a hit on claimed characters is dropped whole, or merged into what it touches."""
+    """Spans in text order. Types claim in priority order; a hit on claimed characters is dropped whole, or merged into what it touches.
+
+    apart: each type claims for itself only, and spans of several types may overlap.
+    """
     if not text:
         return []
+    if on_overlap == "apart":
+        each = (find_spans(text, list(own)) for _, own in groupby(compiled, lambda c: c[0].id))
+        return sorted(chain.from_iterable(each), key=lambda s: (s["start"], s["end"]))
     claimed: list[tuple[int, int]] = []  # sorted and disjoint
     found: dict[tuple[int, int], dict] = {}
     digit = bool(_DIGIT.search(text))
@@ -63,8 +71,8 @@ def find_spans(text: str | None, compiled: list[tuple[D.Detector, re.Pattern]],
 
 def detect(text: Column, types=None, terms=(), on_overlap: str = "drop") -> Column:
     """Array of spans (start, end, type, text) in code points. A null or empty text has none."""
-    if on_overlap not in ("drop", "merge"):
-        raise ValueError("on_overlap is drop or merge")
+    if on_overlap not in OVERLAPS:
+        raise ValueError(f"on_overlap is one of {', '.join(OVERLAPS)}")
     chosen = D.choose(types, terms)  # unknown types fail when the plan is built; tasks get the detectors by value
 
     @pandas_udf(SPANS)
