@@ -217,6 +217,25 @@ def test_packing(docs, empty, spark):
     assert packing.pack(empty.select("doc_id", "text"), path).count() == 0
 
 
+def test_packing_in_bounded_memory(docs):
+    """Small caches and steps give the same rows; no generation of the cache outgrows its bound."""
+    import public_tokenizers
+
+    from veilspark.llm.tokens import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    one = docs.select("doc_id", "text").coalesce(1)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(packing.pack(one, path, entries=7, step=64)) == rows(packing.pack(one, path))
+    few, more = Encoder(path, 7), Encoder(path)
+    for seed in range(4):
+        data = np.frombuffer(prose(60, seed).encode(), np.uint8)
+        at = np.array([0, len(data)])
+        assert few.encode(data, at)[0].tolist() == more.encode(data, at)[0].tolist()
+        assert len(few.cache) <= 7 and len(few.older) <= 7
+    assert len(more.cache) > 7
+
+
 def test_packing_pads_little():
     r = random.Random(3)
     packer = packing.Packer(0)

@@ -26,12 +26,12 @@ from pyspark.sql import types as T
 
 from .common import Scratch, released, slices, utf8
 from .decontaminate import _arrow
+from .tokens import CACHE_ENTRIES
 
 LENGTH, OPEN, MIN_CUT, MERGED, END = 2048, 64, 16, 16, 1
 #: Bytes of text that are tokenized at once.
 STEP = 1 << 20
 FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_encoders: dict[str, object] = {}
 
 
 class Packer:
@@ -98,8 +98,11 @@ def merge(pieces: list[tuple], base: int, length: int = LENGTH) -> list[tuple]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", length: int = LENGTH, open_windows: int = OPEN, scratch: Scratch | None = None) -> DataFrame:
-    """One row a piece: docs' columns but the text under ``doc``, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", length: int = LENGTH, open_windows: int = OPEN, scratch: Scratch | None = None, entries: int = CACHE_ENTRIES, step: int = STEP) -> DataFrame:
+    """One row a piece: docs' columns but the text under ``doc``, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
+
+    entries and step bound a worker's memory at the price of CPU seconds (pre-tokens in its cache, bytes that are tokenized at once); the rows don't depend on them.
+    """
     scratch = scratch or Scratch(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
     state = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text}`").alias("t"))
@@ -117,8 +120,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", length: int =
     def pack_partition(batches):
         from .tokens import Encoder
 
-        encoder = _encoders.setdefault(tokenizer_path, None) or Encoder(tokenizer_path)
-        _encoders[tokenizer_path] = encoder
+        encoder = Encoder(tokenizer_path, entries)  # goes with the task, before released() trims
         part = TaskContext.get().partitionId()
         packer = Packer(part << 33, length, open_windows)
         end = np.array([END], "<u4")
@@ -131,7 +133,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", length: int =
         for batch in batches:
             doc = batch.column(0)
             data, offsets = utf8(batch.column(1))
-            for lo, hi in slices(offsets, STEP):
+            for lo, hi in slices(offsets, step):
                 ids, at = encoder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for row in range(lo, hi):
                     packer.add(doc.slice(row, 1), np.concatenate([ids[at[row - lo] : at[row - lo + 1]], end]))

@@ -17,7 +17,7 @@ import numpy as np
 from .common import distinct_spans
 
 LETTER, NUMBER, SPACE, OTHER, ODD = 1, 2, 3, 0, 4
-#: Pre-tokens of a generation of the cache; there are two.
+#: Pre-tokens of a generation of the cache, unless another number is given; there are two.
 CACHE_ENTRIES = 200_000
 _SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: np.ndarray | None = None
@@ -79,9 +79,10 @@ def pretoken_starts(points: np.ndarray, doc_of_first: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids for slices of texts, with a cache of pre-tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
+        self.entries = entries
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[bytes, bytes] = {}
@@ -100,7 +101,7 @@ class Encoder:
             if found is None:
                 ids = [x.id for x in merge(token.decode("latin-1").translate(BYTE_CHARACTERS))]
                 found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(cache) >= CACHE_ENTRIES:
+            if len(cache) >= self.entries:
                 self.older = older = cache
                 self.cache = cache = {}
             cache[token] = parts[i] = found
